@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import source_filter
+from tessera.llm import lookalike, source_filter, winnow
 from tessera.staging import table
 
 
@@ -22,5 +22,36 @@ def p1_handwritten(spark: SparkSession, folder: str) -> DataFrame:
     return source_filter.handwritten_sources(table(spark, folder, "file_state"), table(spark, folder, "source_heads"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p1_handwritten": p1_handwritten}
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnow.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "passage")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").cast("long").alias("longest_span"))
+
+
+def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.canonical_texts(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("canonical").alias("canonical_text"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = lookalike.lookalike_pairs(lookalike.canonical_texts(table(spark, folder, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_kinds": p1_kinds,
+    "p1_handwritten": p1_handwritten,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p6_leaked_items": p6_leaked_items,
+    "p8_found": p8_found,
+    "p8_canonical": p8_canonical,
+}
 ORACLES: dict[str, str] = {}
