@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lookalike, source_filter, winnow
+from tessera.llm import lookalike, signature_tree, source_filter, winnow
 from tessera.staging import table
 
 
@@ -22,6 +22,17 @@ def p1_handwritten(spark: SparkSession, folder: str) -> DataFrame:
     return source_filter.handwritten_sources(table(spark, folder, "file_state"), table(spark, folder, "source_heads"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = signature_tree.similar_records(table(spark, folder, "knowledge_store"), "object_id", "level_0", shingle=3, threshold=0.7)
+    paths = table(spark, folder, "doc_meta").select("file_path").distinct().select(F.col("file_path").alias("key"), "file_path")
+    paths = signature_tree.similar_records(paths, "key", "file_path", shingle=1, threshold=0.8, combo=3)
+    return texts.select(F.lit("level_0").alias("field_name"), "*").unionByName(paths.select(F.lit("file_path").alias("field_name"), "*"))
+
+
+def p2_text_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_tree.similar_classes(table(spark, folder, "knowledge_store"), "object_id", "level_0")
+
+
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = winnow.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "passage")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
@@ -48,6 +59,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_kinds": p1_kinds,
     "p1_handwritten": p1_handwritten,
+    "p2_found": p2_found,
+    "p2_text_classes": p2_text_classes,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p6_leaked_items": p6_leaked_items,
