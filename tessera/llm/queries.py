@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lookalike, signature_tree, source_filter, winnow
+from tessera.llm import lookalike, mixture, multi_index, signature_tree, source_filter, winnow
 from tessera.staging import table
 
 
@@ -33,6 +33,15 @@ def p2_text_classes(spark: SparkSession, folder: str) -> DataFrame:
     return signature_tree.similar_classes(table(spark, folder, "knowledge_store"), "object_id", "level_0")
 
 
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = multi_index.usable_vectors(table(spark, folder, "embedding_cache"), "content_hash", "vector", "created_at", 64)
+    return multi_index.nearest_vectors(vectors, 64, 5)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.mutual_pairs(p5_neighbours(spark, folder)).select(F.col("key_a").alias("hash_a"), F.col("key_b").alias("hash_b"))
+
+
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = winnow.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "passage")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
@@ -46,6 +55,21 @@ def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return p6_leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").cast("long").alias("longest_span"))
 
 
+def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_targets")
+    return mixture.sized_records(table(spark, folder, "documents"), targets, "doc_id", "source", "text"), targets
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    records, targets = _sized(spark, folder)
+    return mixture.mix(records, targets).withColumnRenamed("key", "doc_id")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    records, targets = _sized(spark, folder)
+    return mixture.reached_shares(mixture.mix(records, targets), records, targets)
+
+
 def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("canonical").alias("canonical_text"))
 
@@ -61,9 +85,13 @@ QUERIES = {
     "p1_handwritten": p1_handwritten,
     "p2_found": p2_found,
     "p2_text_classes": p2_text_classes,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p6_leaked_items": p6_leaked_items,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
 }
