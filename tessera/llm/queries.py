@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lookalike, mixture, multi_index, signature_tree, source_filter, winnow
+from tessera.llm import lookalike, mixture, multi_index, scan_repair, signature_tree, source_filter, winnow
 from tessera.staging import table
 
 
@@ -33,6 +33,19 @@ def p2_text_classes(spark: SparkSession, folder: str) -> DataFrame:
     return signature_tree.similar_classes(table(spark, folder, "knowledge_store"), "object_id", "level_0")
 
 
+def _scans(spark: SparkSession, folder: str) -> scan_repair.Repair:
+    notes = scan_repair.records_of(table(spark, folder, "knowledge_store"), "knowledge_store", "object_id", "level_0").distinct()
+    return scan_repair.Repair(notes.unionByName(scan_repair.records_of(table(spark, folder, "documents"), "documents", "doc_id", "content")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).defects()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).repaired().select("table_name", "record_key", "repaired")
+
+
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = multi_index.usable_vectors(table(spark, folder, "embedding_cache"), "content_hash", "vector", "created_at", 64)
     return multi_index.nearest_vectors(vectors, 64, 5)
@@ -85,6 +98,8 @@ QUERIES = {
     "p1_handwritten": p1_handwritten,
     "p2_found": p2_found,
     "p2_text_classes": p2_text_classes,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
