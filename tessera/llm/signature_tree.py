@@ -26,20 +26,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.winnow import WordHashes, grams
-from tessera.staging import stage
+from tessera.staging import small_enough, stage
 
-#: Counters of the rarity table (two bytes each on the driver and in each worker) and its slices.
-SKETCH, SLICES = 1 << 21, 32
+#: Counters of the rarity table (four bytes each, on the driver and in each worker) and its slices.
+SKETCH, SLICES, SLOT_SHIFT = 1 << 21, 32, np.uint64(20)
 #: Bits of a record's signature, children of a node, pairs handled at once, records of a block.
 BITS, FANOUT, CHUNK, BLOCK = 512, 6, 200_000, 20_000
+#: Candidate ids up to this number (some 10 MB) are broadcast.
+BROADCAST_IDS = 500_000
 #: Sets larger than this are never routed by combinations.
 COMBO_SIZE = 48
 EPS = 1e-9
@@ -50,8 +53,15 @@ def normal_words(column: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " "))
 
 
-def token_set(words: list[str], shingle: int, hashed: WordHashes) -> np.ndarray:
-    return np.unique(grams(hashed(words), shingle))
+def token_stream(texts: list[str], shingle: int, hashed: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, text): the hashed shingles of all texts in a row, with repeats, and the number of the text of each."""
+    words = [t.split(" ") for t in texts]
+    text = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    tokens = grams(hashed(list(chain.from_iterable(words))), shingle)
+    if not len(tokens):
+        return tokens, text[:0]
+    inside = text[: len(tokens)] == text[shingle - 1 :]
+    return tokens[inside], text[: len(tokens)][inside]
 
 
 def needed(threshold: float, a, b):
@@ -62,34 +72,34 @@ def needed(threshold: float, a, b):
 # ---- rarity -------------------------------------------------------------------------------------
 
 
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    """The counter of a token (or of a key made from it)."""
+    return ((tokens >> SLOT_SHIFT) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
 def _count_tokens(shingle: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, counts = WordHashes(), np.zeros(SKETCH, np.uint32)
+        hashed, counts = WordHashes(), np.zeros(SKETCH, np.int64)
         for batch in batches:
-            parts = [token_set(text.split(" "), shingle, hashed) for text in batch["words"]]
-            if parts:
-                counts += np.bincount((np.concatenate(parts) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-        width = SKETCH // SLICES
-        blobs = [(i, zlib.compress(np.minimum(counts[i * width : (i + 1) * width], 65535).astype(np.uint16).tobytes(), 1)) for i in range(SLICES) if counts[i * width : (i + 1) * width].any()]
+            counts += np.bincount(_slot(token_stream(list(batch["words"]), shingle, hashed)[0]), minlength=SKETCH)
+        blobs = [(i, zlib.compress(part.astype(np.uint32).tobytes(), 1)) for i, part in enumerate(np.split(counts, SLICES)) if part.any()]
         yield pd.DataFrame(blobs, columns=["slice", "counts"])
 
     return run
 
 
 def _add_counts(part: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH // SLICES, np.uint32)
-    for blob in part["counts"]:
-        total += np.frombuffer(zlib.decompress(blob), np.uint16)
-    return pd.DataFrame({"slice": [part["slice"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+    total = sum(np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64) for blob in part["counts"])
+    return pd.DataFrame({"slice": [part["slice"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
 
 def token_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Counts of hashed tokens over all texts, in a table of fixed size (at most 65535 each)."""
+    """Counts of hashed tokens over all texts, in a table of fixed size."""
     schema = "slice int, counts binary"
     rows = texts.select("words").mapInPandas(_count_tokens(shingle), schema).groupBy("slice").applyInPandas(_add_counts, schema).collect()
-    counts = np.zeros((SLICES, SKETCH // SLICES), np.uint16)
+    counts = np.zeros((SLICES, SKETCH // SLICES), np.uint32)
     for row in rows:
-        counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
+        counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return counts.reshape(-1)
 
 
@@ -101,82 +111,110 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def cells_of(tokens: np.ndarray, counts: np.ndarray, threshold: float, combo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells, ranks, sizes): the cells of a set, the rank of the last token of each, and a bound of the cell's size."""
-    n = len(tokens)
-    rarity = counts[tokens & np.uint64(SKETCH - 1)]
-    order = np.lexsort((tokens, rarity))
-    prefix = n - int(np.ceil(threshold * n - EPS)) + 1
-    cells, ranks, bounds = [], [], []
-    if combo > 1 and n <= COMBO_SIZE:
-        if n <= combo:
-            cells.append(_mix(np.array([np.bitwise_xor.reduce(_mix(tokens))], np.uint64)))
-            ranks.append(np.zeros(1, np.int64))
-            bounds.append(np.full(1, 65535))
-        else:
-            chosen = np.array(list(combinations(range(min(n, prefix + combo - 1)), combo)))
-            key = np.zeros(len(chosen), np.uint64)
-            for k in range(combo):
-                key = _mix(key * np.uint64(31) + tokens[order[chosen[:, k]]])
-            cells.append(key)
-            ranks.append(chosen[:, -1] - combo + 1)
-            bounds.append(rarity[order[chosen]].min(axis=1))
-    if combo == 1 or n >= threshold * COMBO_SIZE:
-        cells.append(tokens[order[:prefix]])
-        ranks.append(np.arange(prefix))
-        bounds.append(rarity[order[:prefix]])
-    return np.concatenate(cells), np.concatenate(ranks), np.concatenate(bounds).astype(np.int64)
-
-
-def signature(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(tokens >> np.uint64(40)).astype(np.int64) % BITS] = True
-    return np.packbits(bits)
+def ordered_sets(tokens: np.ndarray, text: np.ndarray, n_texts: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, starts): each text's distinct tokens, the rarest first; a key is 16 bits of rarity and 48 of the token."""
+    keys = (np.minimum(counts[_slot(tokens)], 65535).astype(np.uint64) << np.uint64(48)) | (tokens >> np.uint64(16))
+    starts = np.searchsorted(text, np.arange(n_texts + 1))
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        keys[lo:hi].sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    return keys[new], np.concatenate([[0], np.cumsum(new)])[starts]
+
+
+def cells_of(keys: np.ndarray, starts: np.ndarray, threshold: float, combo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, cell, rank, key) of every cell that a set stands in; ``rank``: tokens that come before the cell's last one and are not in it."""
+    n = np.diff(starts)
+    prefix = n - np.ceil(threshold * n - EPS).astype(np.int64) + 1
+    texts, cells, ranks, firsts = [], [], [], []
+    single = (n > 0) if combo == 1 else (n > 0) & (n >= threshold * COMBO_SIZE)
+    if single.any():
+        take = np.where(single, prefix, 0)
+        text = np.repeat(np.arange(len(n)), take)
+        rank = np.arange(len(text)) - np.repeat(np.cumsum(take) - take, take)
+        key = keys[starts[text] + rank]
+        texts.append(text), cells.append(_mix(key)), ranks.append(rank), firsts.append(key)
+    if combo > 1:
+        small = (n > 0) & (n <= COMBO_SIZE)
+        width = np.where(n <= combo, n, np.minimum(n, prefix + combo - 1))
+        for m in np.unique(width[small]):
+            which = np.flatnonzero(small & (width == m))
+            table = keys[starts[which][:, None] + np.arange(m)]
+            chosen = np.array(list(combinations(range(m), min(m, combo))))
+            key = np.full((len(which), len(chosen)), np.uint64(m if m < combo else 0))
+            for k in range(chosen.shape[1]):
+                key = _mix(key * np.uint64(31) + table[:, chosen[:, k]])
+            texts.append(np.repeat(which, len(chosen))), cells.append(key.reshape(-1))
+            ranks.append(np.tile(chosen[:, -1] - chosen.shape[1] + 1, len(which))), firsts.append(np.zeros(key.size, np.uint64))
+    return np.concatenate(texts), np.concatenate(cells), np.concatenate(ranks), np.concatenate(firsts)
+
+
+def signatures(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One row of packed bits for each set."""
+    bits = np.zeros((len(starts) - 1, BITS), bool)
+    bits[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), ((keys >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
+
+
+def cut_cells(ids: np.ndarray, text, cell, rank, blocks) -> tuple:
+    """Cells of more than one block: one derived cell for each pair of the record's block with another; side 0, 1, or -1 for whole trees."""
+    cut = np.flatnonzero(blocks > 1)
+    kept = np.flatnonzero(blocks <= 1)
+    b = blocks[cut]
+    row = np.repeat(cut, b)
+    other = (np.arange(len(row)) - np.repeat(np.cumsum(b) - b, b)).astype(np.uint64)
+    own = _mix(ids[text[row]].astype(np.uint64)) % np.repeat(b, b).astype(np.uint64)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    derived = _mix(cell[row] ^ _mix(low * np.uint64(1 << 20) + high + np.uint64(1)))
+    side = np.concatenate([np.full(len(kept), -1, np.int8), np.where(own == other, -1, own > other).astype(np.int8)])
+    return np.concatenate([text[kept], text[row]]), np.concatenate([cell[kept], derived]), np.concatenate([rank[kept], rank[row]]), side
+
+
+def _blobs(values: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """``values`` cut at ``borders``, as binary values, without a copy per value."""
+    offsets = (borders * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _emit(counts, shingle: int, threshold: float, combo: int, parts: int, block: int) -> Callable:
-    """Rows (part, id, n, sig, cells, ranks, sides): what of a record belongs to a partition.
-
-    A cell whose size may exceed ``block`` is cut in ``b`` blocks; the record then stands in one
-    derived cell per pair of blocks with its own, on side 0 or 1 (-1: the cell is not cut).
-    """
+    """Rows (part, id, n, sig, cells, ranks, sides): what of a record belongs to a partition."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, table = WordHashes(), counts.value
         for batch in batches:
-            out = []
-            for ident, text in zip(batch["id"], batch["words"], strict=True):
-                tokens = token_set(text.split(" "), shingle, hashed)
-                if not len(tokens):
-                    continue
-                cells, ranks, bounds = cells_of(tokens, table, threshold, combo)
-                sides = np.full(len(cells), -1, np.int8)
-                cut = bounds > block if combo == 1 else np.zeros(len(cells), bool)
-                if cut.any():
-                    cells, ranks, sides = _cut(int(ident), cells, ranks, bounds, cut, block)
-                part = (_mix(cells) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                sig, borders = signature(tokens).tobytes(), np.flatnonzero(np.diff(part[by])) + 1
-                for rows in np.split(by, borders):
-                    out.append((int(part[rows[0]]), ident, len(tokens), sig, cells[rows].tobytes(), ranks[rows].astype(np.uint16).tobytes(), sides[rows].tobytes()))
-            yield pd.DataFrame(out, columns=["part", "id", "n", "sig", "cells", "ranks", "sides"])
+            for lo in range(0, batch.num_rows, 4_000):
+                part = batch.slice(lo, 4_000)
+                ids = part.column("id").to_numpy()
+                tokens, text = token_stream(part.column("words").to_pylist(), shingle, hashed)
+                keys, starts = ordered_sets(tokens, text, len(ids), table)
+                text, cell, rank, key = cells_of(keys, starts, threshold, combo)
+                side = np.full(len(cell), -1, np.int8)
+                if combo == 1:
+                    blocks = -(-table[_slot(key << np.uint64(16))].astype(np.int64) // block)
+                    if (blocks > 1).any():
+                        text, cell, rank, side = cut_cells(ids, text, cell, rank, blocks)
+                where = (_mix(cell) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(text * parts + where, kind="stable")
+                text, cell, rank, side, where = text[order], cell[order], rank[order], side[order], where[order]
+                first = np.flatnonzero(np.insert((text[1:] != text[:-1]) | (where[1:] != where[:-1]), 0, True)) if len(text) else np.zeros(0, np.int64)
+                borders, of = np.append(first, len(text)), text[first]
+                sig = signatures(keys, starts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(where[first].astype(np.int32)),
+                        pa.array(ids[of]),
+                        pa.array(np.diff(starts)[of].astype(np.int32)),
+                        _blobs(sig[of].reshape(-1), np.arange(len(of) + 1) * sig.shape[1]),
+                        _blobs(cell, borders),
+                        _blobs(np.minimum(rank, 65535).astype(np.uint16), borders),
+                        _blobs(side, borders),
+                    ],
+                    names=["part", "id", "n", "sig", "cells", "ranks", "sides"],
+                )
 
     return run
 
 
-def _cut(ident: int, cells, ranks, bounds, cut, block: int):
-    new_cells, new_ranks, new_sides = [cells[~cut]], [ranks[~cut]], [np.full((~cut).sum(), -1, np.int8)]
-    for cell, rank, bound in zip(cells[cut], ranks[cut], bounds[cut], strict=True):
-        b = int(-(-bound // block))
-        own = int(_mix(np.array([ident], np.int64).view(np.uint64))[0] % np.uint64(b))
-        other = np.arange(b)
-        low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
-        new_cells.append(_mix(cell ^ _mix(low * np.uint64(1 << 20) + high + np.uint64(1))))
-        new_ranks.append(np.full(b, rank))
-        new_sides.append(np.where(other == own, -1, (own > other)).astype(np.int8))
-    return np.concatenate(new_cells), np.concatenate(new_ranks), np.concatenate(new_sides)
-
-
 # ---- forest -------------------------------------------------------------------------------------
 
 
@@ -316,11 +354,36 @@ def distinct_texts(df: DataFrame, key: str, text: str, shingle: int) -> tuple[Da
     return texts.select("id", "words"), members
 
 
-def exact_shingles(words: Column, shingle: int) -> Column:
-    parts = F.split(words, " ")
-    if shingle == 1:
-        return F.array_distinct(parts)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts) - (shingle - 1)), lambda i: F.array_join(F.slice(parts, i, shingle), " ")))
+def _verify(shingle: int, threshold: float) -> Callable:
+    def shingles(text: str) -> set:
+        words = text.split(" ")
+        return set(words) if shingle == 1 else set(zip(*[words[i:] for i in range(shingle)], strict=False))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, last, left = [], None, set()
+            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
+                if a != last:
+                    last, left = a, shingles(text_a)
+                right = shingles(text_b)
+                shared = len(left & right)
+                similarity = shared / (len(left) + len(right) - shared)
+                if similarity >= threshold:
+                    rows.append((a, b, similarity))
+            yield pd.DataFrame(rows, columns=["a", "b", "similarity"])
+
+    return run
+
+
+def verified(candidates: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The candidates (a, b) whose exact similarity reaches the threshold. Only texts of candidates are shipped."""
+    ids = stage(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
+    if small_enough(ids, BROADCAST_IDS):
+        ids = F.broadcast(ids)
+    texts = stage(texts.join(ids, "id"), "candidate-texts")
+    one = lambda side: texts.select(F.col("id").alias(side), F.col("words").alias(f"text_{side}"))
+    both = candidates.join(one("b"), "b").join(one("a"), "a").select("a", "b", "text_a", "text_b")
+    return both.mapInPandas(_verify(shingle, threshold), "a long, b long, similarity double")
 
 
 def similar_texts(texts: DataFrame, shingle: int, threshold: float, combo: int = 1, block: int = BLOCK, parts: int | None = None) -> DataFrame:
@@ -333,13 +396,10 @@ def similar_texts(texts: DataFrame, shingle: int, threshold: float, combo: int =
     spark = texts.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() // 50_000 + 1)
     counts = spark.sparkContext.broadcast(token_counts(texts, shingle))
-    rows = texts.mapInPandas(_emit(counts, shingle, threshold, combo, parts, block), "part int, id long, n int, sig binary, cells binary, ranks binary, sides binary")
+    rows = texts.mapInArrow(_emit(counts, shingle, threshold, combo, parts, block), "part int, id long, n int, sig binary, cells binary, ranks binary, sides binary")
     candidates = rows.repartitionById(parts, F.col("part")).mapInPandas(_search(threshold), "a long, b long").distinct()
     candidates = stage(candidates, "candidates")
-    one = lambda side: texts.select(F.col("id").alias(side), exact_shingles(F.col("words"), shingle).alias(f"set_{side}"))
-    both = candidates.join(one("a"), "a").join(one("b"), "b")
-    overlap = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("a", "b", (overlap / (F.size("set_a") + F.size("set_b") - overlap)).alias("similarity")).where(F.col("similarity") >= threshold)
+    return verified(candidates, texts, shingle, threshold)
 
 
 def similar_records(df: DataFrame, key: str, text: str, shingle: int, threshold: float, combo: int = 1) -> DataFrame:
