@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WORD_CLASS, split_identifier, strip_spaces
+from tessera.functions.text import WORD_CLASS, let, split_identifier, strip_spaces
 
 # Words that are no keywords.
 KEYWORD_STOP_WORDS = [
@@ -41,8 +41,7 @@ def _first_sentence(paragraph: Column) -> Column:
 
 def _first_by_key(values: Column, key) -> Column:
     """Values whose key has not occurred before, in order."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return let(values, lambda v: let(F.transform(v, key), lambda keys: F.filter(v, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def outline_of_text(text: Column) -> Column:
@@ -55,9 +54,12 @@ def outline_of_text(text: Column) -> Column:
 
 def sample_passages(paragraphs: Column) -> Column:
     """All of up to three paragraphs, else the first, the middle and the last."""
-    n = F.size(paragraphs)
-    three = F.array(F.get(paragraphs, F.lit(0)), F.get(paragraphs, F.floor(n / 2).cast("int")), F.get(paragraphs, n - 1))
-    return F.when(n <= 3, paragraphs).otherwise(three)
+
+    def chosen(p: Column) -> Column:
+        n = F.size(p)
+        return F.when(n <= 3, p).otherwise(F.array(F.get(p, F.lit(0)), F.get(p, F.floor(n / 2).cast("int")), F.get(p, n - 1)))
+
+    return let(paragraphs, chosen)
 
 
 def passages_of_text(text: Column, longer_than: int = 80) -> Column:
@@ -73,7 +75,8 @@ def summary_of_text(name: Column, text: Column) -> Column:
     phrases = F.array_distinct(F.filter(F.transform(F.concat(nouns, F.slice(bullets, 1, 15), defined), strip_spaces), lambda p: F.length(p) > 5))
     longest = F.transform(F.slice(F.array_sort(F.transform(phrases, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), 1, 8), lambda x: x["p"])
     points = F.slice(F.filter(F.transform(bullets, strip_spaces), lambda b: F.length(b) > 10), 1, 8)
-    covers = F.when(F.size(points) > 0, F.concat(F.lit("Key topics: "), F.array_join(points, "; "))).when(F.size(phrases) > 0, F.concat(F.lit("Covers: "), F.array_join(longest, ", ")))
+    listed = let(longest, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("Covers: "), F.array_join(x, ", "))))
+    covers = let(points, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("Key topics: "), F.array_join(x, "; "))).otherwise(listed))
     sentences = F.filter(F.transform(passages_of_text(text), _first_sentence), lambda s: F.length(s) > 30)
     parts = F.concat(F.array(F.concat(name, F.lit(".")), covers), F.transform(sentences, lambda s: F.substring(s, 1, 200)))
     return F.when(F.length(text) >= MIN_CHARS, F.substring(F.array_join(F.array_compact(parts), " "), 1, 800)).otherwise(F.lit(""))
@@ -93,10 +96,13 @@ def term_parts(df: DataFrame, key: str, text: str) -> DataFrame:
 
     The texts are shuffled by key once; all later grouping stays within their partitions.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= MIN_CHARS).repartition("key")
+    # a number of its own: coalescing by size would leave this work, which is all computing, to a few tasks
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= MIN_CHARS).repartition(parts, "key")
     rows = rows.select("key", "text", plain_words(F.col("text")).alias("words"))
     words = F.col("words")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.struct(F.get(words, i - 1).alias("a"), F.get(words, i).alias("b")))
+    # zipped, not looked up by position: an array that a lambda refers to would be computed again for every element
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = F.filter(pairs, lambda p: p["b"].isNotNull() & _kept(p["a"]) & _kept(p["b"]))
     entry = lambda kind, values: F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("term"), i.alias("pos")))
     parts = F.concat(
@@ -106,7 +112,10 @@ def term_parts(df: DataFrame, key: str, text: str) -> DataFrame:
         entry(3, F.regexp_extract_all(F.lower("text"), F.lit(KIND_PHRASE), F.lit(0))),
     )
     total = F.greatest(F.size(F.filter(words, _kept)), F.lit(1))
-    exploded = rows.select("key", total.alias("total"), F.explode(parts).alias("p")).select("key", "total", "p.kind", "p.term", "p.pos")
+    # both are computed before the explosion, not for each of its rows
+    rows = rows.select("key", total.alias("total"), parts.alias("parts"))
+    # outer, as an inner explosion would compute the array a second time to filter out empty ones
+    exploded = rows.select("key", "total", F.explode_outer("parts").alias("p")).where("p is not null").select("key", "total", "p.kind", "p.term", "p.pos")
     return exploded.groupBy("key", "total", "kind", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,11 @@ def _folding() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it (an expression inside a lambda is not shared otherwise)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_spaces(column: Column) -> Column:
     return F.regexp_replace(column, rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
 
@@ -110,9 +116,7 @@ def decoded(content: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without their ends; no empty last line after a final line end."""
-    parts = F.split(text, LINE_END)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def index_terms(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
-from tessera.functions.text import SPACE_CLASS, lines_of, strip_spaces
+from tessera.functions.text import SPACE_CLASS, let, lines_of, strip_spaces
 
 FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 WIKILINK = r"\[\[([^\]|\\]+)(?:[\\|]+([^\]]+))?\]\]"
@@ -68,7 +68,10 @@ def links_of(lines: Column) -> Column:
 def headings_of(lines: Column) -> Column:
     """Headings as (node, level, line, line_end, is_leaf, parent), in order; ``parent`` is a position from 0, or null."""
     marks = F.transform(lines, lambda s, i: F.struct(F.length(F.regexp_extract(s, "^#+", 0)).alias("level"), strip_spaces(F.regexp_replace(s, "^#+", "")).alias("title"), (i + 1).alias("line")))
-    found = F.filter(marks, lambda h: (h["level"] > 0) & (h["title"] != ""))
+    return let(F.filter(marks, lambda h: (h["level"] > 0) & (h["title"] != "")), lambda found: let(F.size(lines), lambda n: _nested(found, n)))
+
+
+def _nested(found: Column, n_lines: Column) -> Column:
     following = lambda i: F.get(found, i + 1)
     return F.transform(
         found,
@@ -76,7 +79,7 @@ def headings_of(lines: Column) -> Column:
             F.concat(F.lit("H"), h["level"].cast("string"), F.lit(": "), h["title"]).alias("node"),
             h["level"].alias("level"),
             h["line"].alias("line"),
-            F.coalesce(following(i)["line"] - 1, F.size(lines)).alias("line_end"),
+            F.coalesce(following(i)["line"] - 1, n_lines).alias("line_end"),
             (F.coalesce(following(i)["level"], F.lit(0)) <= h["level"]).alias("is_leaf"),
             F.array_max(F.filter(F.transform(F.slice(found, 1, i), lambda p, k: F.when(p["level"] < h["level"], k)), lambda k: k.isNotNull())).alias("parent"),
         ),
@@ -85,7 +88,10 @@ def headings_of(lines: Column) -> Column:
 
 def blocks_of(lines: Column, headings: Column) -> Column:
     """Texts under leaf headings as (heading_context, start_line, end_line, raw_text); blank ones are left out."""
-    leaves = F.filter(headings, lambda h: h["is_leaf"])
+    return let(lines, lambda found: _leaf_blocks(found, F.filter(headings, lambda h: h["is_leaf"])))
+
+
+def _leaf_blocks(lines: Column, leaves: Column) -> Column:
     one = lambda h: F.struct(h["node"].alias("heading_context"), h["line"].alias("start_line"), h["line_end"].alias("end_line"), F.array_join(F.slice(lines, h["line"] + 1, h["line_end"] - h["line"]), "\n").alias("raw_text"))
     return F.filter(F.transform(leaves, one), lambda b: b["raw_text"].rlike(rf"[^{SPACE_CLASS}]"))
 

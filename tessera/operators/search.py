@@ -33,7 +33,7 @@ def postings(documents: DataFrame, key: str) -> DataFrame:
         return F.transform(F.col(column), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
 
     weighted = F.flatten(F.array(*[entries(c, w) for c, w in WEIGHTS.items()]))
-    return terms.select("key", F.explode(weighted).alias("t")).groupBy("t.term", "key").agg(F.sum("t.weight").alias("weight"))
+    return terms.select("key", F.explode_outer(weighted).alias("t")).where("t is not null").groupBy("t.term", "key").agg(F.sum("t.weight").alias("weight"))
 
 
 def build_index(documents: DataFrame, key: str, path: str, buckets: int = 64) -> None:

@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.functions.text import let
+from tessera.staging import stage
+
 DIMENSION = 1024
 
 
 def hash_embedding(text: Column, dimension: int = DIMENSION) -> Column:
     """The 32 bytes of the text's SHA-256, repeated, each scaled to [-1, 1); a blank text gives zeros."""
-    digest = F.sha2(F.encode(text, "UTF-8"), 256)
-    byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    values = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (byte(i) - 128) / F.lit(128.0))
-    return F.when(F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " ")) == "", F.array_repeat(F.lit(0.0), dimension)).otherwise(values)
+    byte = lambda digest, i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    block = let(F.sha2(F.encode(text, "UTF-8"), 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (byte(digest, i) - 128) / F.lit(128.0)))
+    values = F.slice(F.flatten(F.array_repeat(block, -(-dimension // 32))), 1, dimension)
+    return F.when(~text.rlike(r"[^\s\p{Z}]"), F.array_repeat(F.lit(0.0), dimension)).otherwise(values)
 
 
 def content_hash(text: Column) -> Column:
@@ -43,6 +46,7 @@ def embed(texts: DataFrame, key: str, text: str, cache: DataFrame, model: Callab
                 yield pd.DataFrame({"content_hash": b["content_hash"], "vector": [[float(x) for x in v] for v in model(list(b["text"]))]})
 
         fresh = misses.mapInPandas(run, "content_hash string, vector array<double>")
+    fresh = stage(fresh, "fresh")
     known = cached.unionByName(fresh)
     return hashed.select("key", "content_hash").join(known, "content_hash").select("key", "vector"), fresh.withColumn("created_at", F.lit(now).cast("long"))
 

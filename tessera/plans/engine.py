@@ -130,7 +130,6 @@ class Engine:
         self.tables["documents"].write(upsert(kept("documents", "file_path"), documents, ["object_id"]))
         self.tables["objects"].write(upsert(kept("objects", "source_file"), valid, ["id"]))
         vector_rows, fresh = vectors.embed(documents, "object_id", "content", self.table("embedding_cache"), now=int(time.time()))
-        fresh = stage(fresh, "fresh")
         points = vector_rows.withColumnRenamed("key", "knowledge_id").join(valid.select(F.col("id").alias("knowledge_id"), "type", "name", "domain", "tags", F.col("source_file").alias("file_path"), "workspace"), "knowledge_id")
         self.tables["vectors"].write(upsert(kept("vectors", "file_path"), stage(points, "points"), ["knowledge_id"]))
         self.tables["embedding_cache"].write(self.table("embedding_cache").unionByName(fresh))

@@ -11,7 +11,7 @@ from tessera.operators import code, markdown, ontology
 from tessera.operators import compile as cp
 from tessera.operators.vectors import hash_embedding
 from tessera.sources import files
-from tessera.staging import table
+from tessera.staging import stage, table
 
 
 def _docs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -55,12 +55,12 @@ def ignored_paths(spark, folder):
 
 
 def term_frequency(spark, folder):
-    rows = _docs(spark, folder, "text").select("doc_id", F.explode(tx.index_terms(F.col("text"))).alias("term"))
+    rows = _docs(spark, folder, "text").select("doc_id", F.explode_outer(tx.index_terms(F.col("text"))).alias("term")).where("term is not null")
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(spark, folder):
-    rows = _docs(spark, folder, "text").select("doc_id", F.explode(F.array_distinct(tx.index_terms(F.col("text")))).alias("term"))
+    rows = _docs(spark, folder, "text").select("doc_id", F.explode_outer(F.array_distinct(tx.index_terms(F.col("text")))).alias("term")).where("term is not null")
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -110,22 +110,22 @@ def _notes(spark, folder):
 
 
 def markdown_headings(spark, folder):
-    rows = _notes(spark, folder).select("object_id", F.explode(markdown.headings_of(tx.lines_of(F.col("text")))).alias("h"))
+    rows = _notes(spark, folder).select("object_id", F.explode_outer(markdown.headings_of(tx.lines_of(F.col("text")))).alias("h")).where("h is not null")
     return rows.select("object_id", "h.node", F.col("h.level").cast("long").alias("level"), F.col("h.line").cast("long").alias("line"), F.col("h.line_end").cast("long").alias("line_end"), "h.is_leaf")
 
 
 def markdown_links(spark, folder):
-    rows = _notes(spark, folder).select("object_id", F.explode(markdown.links_of(tx.lines_of(F.col("text")))).alias("l"))
+    rows = _notes(spark, folder).select("object_id", F.explode_outer(markdown.links_of(tx.lines_of(F.col("text")))).alias("l")).where("l is not null")
     return rows.select("object_id", "l.target", "l.alias", F.col("l.line").cast("long").alias("line"))
 
 
 def markdown_tags(spark, folder):
-    return _notes(spark, folder).select("object_id", F.explode(markdown.tags_of(F.col("text"))).alias("tag"))
+    return _notes(spark, folder).select("object_id", F.explode_outer(markdown.tags_of(F.col("text"))).alias("tag")).where("tag is not null")
 
 
 def markdown_blocks(spark, folder):
     rows = _notes(spark, folder).withColumn("lines", tx.lines_of(F.col("text"))).withColumn("h", markdown.headings_of(F.col("lines")))
-    return rows.select("object_id", F.explode(markdown.blocks_of(F.col("lines"), F.col("h"))).alias("b")).select("object_id", "b.heading_context", F.col("b.start_line").cast("long").alias("start_line"), "b.raw_text")
+    return rows.select("object_id", F.explode_outer(markdown.blocks_of(F.col("lines"), F.col("h"))).alias("b")).where("b is not null").select("object_id", "b.heading_context", F.col("b.start_line").cast("long").alias("start_line"), "b.raw_text")
 
 
 def markdown_front_matter(spark, folder):
@@ -141,7 +141,7 @@ def compiled_objects(spark, folder):
     """Every note and code head compiled as if it were a file, with the checks' rejections taken out."""
     notes = _notes(spark, folder).select(F.concat("object_id", F.lit(".md")).alias("path"), "text", F.lit(0).cast("long").alias("seq"))
     heads = table(spark, folder, "source_heads").where("head is not null").select(F.col("file_path").alias("path"), F.col("head").alias("text"), F.lit(0).cast("long").alias("seq"))
-    objects = cp.compile_markdown(notes).unionByName(cp.compile_code(heads))
+    objects = stage(cp.compile_markdown(notes).unionByName(cp.compile_code(heads)), "objects")
     batch = objects.select(F.col("source_file").alias("batch"), "id", "type", "ontology_class", "level_0", "level_2")
     bad = ontology.validate(batch, cp.links_of_objects(objects)).select(F.col("batch").alias("source_file"), F.col("object_id").alias("id")).distinct()
     return objects.join(bad, ["source_file", "id"], "left_anti").select("id", "type", "name", "domain", "source_file", "level_1", "level_2", "level_3", F.size("relationships").alias("n_links"))
