@@ -60,7 +60,7 @@ def judged_lines(records: DataFrame) -> DataFrame:
     ``kind`` is text, blank, fence (also what is inside), page, or title; titles carry their masked
     ``title_key`` and ``sure``, whether the line alone tells that it is a running header.
     """
-    lines = records.where(F.instr("text", "\n") > 0).select("rec", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
+    lines = records.where(F.instr("text", "\n") > 0).select("rec", F.posexplode_outer(F.split("text", r"\r?\n")).alias("n", "line"))
     order = Window.partitionBy("rec").orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fences = F.sum(F.col("line").rlike(FENCE).cast("int")).over(so_far)
@@ -137,7 +137,8 @@ def skeleton(word: Column) -> Column:
 def words_in_context(texts: DataFrame) -> DataFrame:
     """(rec, word, before, after) of every word, lower case."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
-    rows = texts.select("rec", words.alias("w")).select("rec", "w", F.posexplode("w").alias("i", "word"))
+    # outer, as an inner explosion would extract the words a second time to filter out empty lists
+    rows = texts.select("rec", words.alias("w")).select("rec", "w", F.posexplode_outer("w").alias("i", "word")).where("word is not null")
     return rows.select("rec", "word", F.coalesce(F.get("w", F.col("i") - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", F.col("i") + 1), F.lit("")).alias("after"))
 
 
