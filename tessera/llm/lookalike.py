@@ -201,7 +201,7 @@ def spelling_map(docs: DataFrame, changed: DataFrame, parts: int | None = None)
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a letter outside ASCII is part of every word that is looked up, and a word's folded form is plain or keeps such letters
-    words = docs.select(F.explode(F.split("text", r"[\s\p{Z}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode_outer(F.split("text", r"[\s\p{Z}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     words = words.withColumn("folded", F.when(_non_ascii("token"), folded("token")).otherwise(F.col("token")))
     part = lambda df: df.withColumn("part", F.pmod(F.xxhash64("folded"), F.lit(parts)).cast("int"))
     wanted = changed.select("token", "folded").distinct()
