@@ -65,7 +65,7 @@ def classify(path: Column, content: Column) -> Column:
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_file_bytes: int | None = None) -> DataFrame:
     """(path, relative, content, sha256, last_modified, file_type) of the files below ``root`` that are to be read.
 
-    Reads nothing but the files; ignored files are dropped by path before their content is looked at.
+    The source lists no empty files, so a file that was emptied counts as deleted. Ignored files are dropped by path before their content is looked at.
     Contents are read where the hash is computed; columns that are not used are not kept.
     """
     base = root.rstrip("/")

@@ -14,7 +14,8 @@ from tessera.operators.upsert import VersionedTable, upsert
 
 def watch_workspace(engine, workspace: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:
     """Update a workspace whenever files arrive; once for all that is there if ``continuous`` (a trigger interval) is not given."""
-    arrived = engine.spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(workspace).select("path")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    arrived = engine.spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(workspace).select("path")
 
     def on_batch(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
