@@ -88,7 +88,7 @@ def fingerprint_batches(gram: int, window: int) -> Callable[[Iterator[pd.DataFra
                     keys.append(key)
                     positions.append(at.astype(np.int32))
                     prints.append(kept.view(np.int64))
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=object if not keys else None), "pos": positions, "print": prints})
+            yield pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in (("key", keys), ("pos", positions), ("print", prints))})
 
     return run
 
