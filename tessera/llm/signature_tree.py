@@ -41,6 +41,8 @@ from tessera.staging import small_enough, stage
 SKETCH, SLICES, SLOT_SHIFT = 1 << 21, 32, np.uint64(20)
 #: Bits of a record's signature, children of a node, pairs handled at once, records of a block.
 BITS, FANOUT, CHUNK, BLOCK = 512, 6, 200_000, 20_000
+#: Texts for each partition of the forest.
+PART_TEXTS = 25_000
 #: Candidate ids up to this number (some 10 MB) are broadcast.
 BROADCAST_IDS = 500_000
 #: Sets larger than this are never routed by combinations.
@@ -280,33 +282,40 @@ def _slices(ends: np.ndarray, chunk: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _values(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a binary column in a row, how many each row has), read from the column's own buffers."""
+    whole = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind) if data.flags.aligned and data.ctypes.data % np.dtype(kind).itemsize == 0 else np.frombuffer(data.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
 def _search(threshold: float) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        if not frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
             return
-        frame = pd.concat(frames, ignore_index=True)
-        ids, n = frame["id"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-        sig = np.frombuffer(b"".join(frame["sig"]), np.uint64).reshape(len(frame), -1)
-        cells = np.frombuffer(b"".join(frame["cells"]), np.uint64)
-        ranks = np.frombuffer(b"".join(frame["ranks"]), np.uint16)
-        sides = np.frombuffer(b"".join(frame["sides"]), np.int8)
-        row = np.repeat(np.arange(len(frame)), frame["cells"].str.len().to_numpy() // 8)
-        del frame, frames
-        order = np.lexsort((n[row], sides, cells))
-        cells, ranks, sides, row = cells[order], ranks[order], sides[order], row[order]
+        table = pa.Table.from_batches(kept)
+        del kept
+        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        sig = _values(table.column("sig"), np.uint64)[0].reshape(len(ids), -1)
+        cells, width = _values(table.column("cells"), np.uint64)
+        ranks, sides = _values(table.column("ranks"), np.uint16)[0], _values(table.column("sides"), np.int8)[0]
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), width)
         # cells with one record have no pairs
-        same = cells[1:] == cells[:-1]
-        several = np.append(same, False) | np.insert(same, 0, False) if len(cells) else np.zeros(0, bool)
-        cells, ranks, sides, row = cells[several], ranks[several], sides[several], row[several]
+        order = np.argsort(cells, kind="stable")
+        same = cells[order][1:] == cells[order][:-1]
+        order = order[np.append(same, False) | np.insert(same, 0, False)] if len(cells) else order
+        order = order[np.lexsort((n[row[order]], sides[order], cells[order]))]
+        cells, ranks, sides, row = cells[order], ranks[order], sides[order], row[order].astype(np.int64)
         found: list[np.ndarray] = []
-        for lo, hi in _cell_ranges(cells, 2_000_000):
+        for lo, hi in _cell_ranges(cells, 1_000_000):
             found += list(_search_cells(cells[lo:hi], ranks[lo:hi].astype(np.int64), sides[lo:hi], row[lo:hi], ids, n, sig, threshold))
             if sum(map(len, found)) > 2_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -394,10 +403,11 @@ def similar_texts(texts: DataFrame, shingle: int, threshold: float, combo: int =
     if combo > 1 and threshold <= combo / (combo + 1):
         raise ValueError("combo is too large for this threshold")
     spark = texts.sparkSession
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() // 50_000 + 1)
+    # few enough that a record is not sent everywhere with its bitmap, enough that a partition stays within some 300 MB
+    parts = parts or max(spark.sparkContext.defaultParallelism, texts.count() // PART_TEXTS + 1)
     counts = spark.sparkContext.broadcast(token_counts(texts, shingle))
     rows = texts.mapInArrow(_emit(counts, shingle, threshold, combo, parts, block), "part int, id long, n int, sig binary, cells binary, ranks binary, sides binary")
-    candidates = rows.repartitionById(parts, F.col("part")).mapInPandas(_search(threshold), "a long, b long").distinct()
+    candidates = rows.repartitionById(parts, F.col("part")).mapInArrow(_search(threshold), "a long, b long").distinct()
     candidates = stage(candidates, "candidates")
     return verified(candidates, texts, shingle, threshold)
 
