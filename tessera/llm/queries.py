@@ -110,4 +110,43 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
 }
-ORACLES: dict[str, str] = {}
+# ---- SQL ----------------------------------------------------------------------------------------
+
+
+def _translated(column: str) -> str:
+    """The lookalike table of ``lookalike.fold`` in SQL: ignorables away, then width forms and letters, then composed."""
+    single = {chr(a): b for a, b in lookalike.WIDTH_FORMS.items() if len(b) == 1} | {chr(a): b for a, b in lookalike.LOOKALIKES.items()}
+    folded = f"regexp_replace({column}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180B}}-\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
+    for character, letters in lookalike.WIDTH_FORMS.items():
+        if 0xFB00 <= character < 0xFB07:
+            folded = f"replace({folded}, '{chr(character)}', '{letters}')"
+    # composed first, so that a base letter with a mark is one letter; letters that were not part of one are replaced then
+    quoted = lambda x: x.replace("'", "''")
+    return f"nfc_normalize(translate({folded}, '{quoted(''.join(single))}', '{quoted(''.join(single.values()))}'))"
+
+
+WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _similar(rows: str, grams: str, threshold: float) -> str:
+    """Pairs of keys of ``rows(k, x)`` whose sets of ``grams`` (of the words w) reach the threshold."""
+    return f"""(WITH s AS (SELECT k, list_distinct({grams}) AS s FROM (SELECT k, {WORDS.format('x')} AS w FROM ({rows}))),
+      t AS (SELECT k, s, len(s) AS n, row_number() OVER () AS i, unnest(s) AS g FROM s),
+      p AS (SELECT a.k AS ka, b.k AS kb, a.n + b.n AS total, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k, a.s, b.s, a.n, b.n)
+      SELECT DISTINCT ka, kb FROM p WHERE c / (total - c) >= {threshold})"""
+
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"""SELECT 'level_0' AS field_name, ka AS key_a, kb AS key_b FROM {_similar("SELECT DISTINCT object_id AS k, level_0 AS x FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL", "list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])", 0.7)}
+      UNION ALL SELECT 'file_path', ka, kb FROM {_similar("SELECT DISTINCT file_path AS k, file_path AS x FROM doc_meta WHERE file_path IS NOT NULL", "w", 0.8)}""",
+    # exact here, as all vectors of a small table are visited
+    "p5_found": """WITH v AS (SELECT content_hash AS h, created_at AS t, TRY_CAST(vector AS DOUBLE[]) AS v FROM embedding_cache WHERE content_hash IS NOT NULL),
+      u AS (SELECT h, v, row_number() OVER (PARTITION BY h ORDER BY t DESC) AS r FROM v WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+      k AS (SELECT a.h AS a, b.h AS b, row_number() OVER (PARTITION BY a.h ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.h) AS n FROM u a, u b WHERE a.r = 1 AND b.r = 1 AND a.h <> b.h)
+      SELECT DISTINCT least(a, b) AS hash_a, greatest(a, b) AS hash_b FROM k WHERE n <= 5""",
+    "p6_found": f"""WITH d AS (SELECT doc_id, {WORDS.format(_translated('text'))} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {WORDS.format(_translated('passage'))} AS w FROM eval_items WHERE passage IS NOT NULL),
+      dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d), ig AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i)
+      SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p8_found": rf"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(replace({_translated('text')}, chr(13) || chr(10), chr(10)), '[\t\r\x0b\x0c\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n+$', '') AS x FROM documents WHERE text IS NOT NULL)
+      SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.x = b.x AND a.doc_id < b.doc_id AND a.text <> b.text""",
+}
