@@ -153,7 +153,7 @@ def _non_ascii(column: str) -> Column:
 
 
 def _changed_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, pos, token, folded) of the tokens that folding changes."""
+    """(key, pos, token, folded) of the tokens that folding changes, or that mix scripts as a folded form may."""
     known: dict[str, str | None] = {}
     for batch in batches:
         rows: list[tuple] = []
@@ -165,7 +165,7 @@ def _changed_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(known) > 500_000:
                         known.clear()
                     form = fold(token)
-                    known[token] = None if form == token else form
+                    known[token] = None if form == token and well_formed(token) else form
                 if known[token] is not None:
                     rows.append((key, pos, token, known[token]))
         yield pd.DataFrame(rows, columns=["key", "pos", "token", "folded"])

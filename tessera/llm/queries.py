@@ -122,7 +122,7 @@ def _translated(column: str) -> str:
             folded = f"replace({folded}, '{chr(character)}', '{letters}')"
     # composed first, so that a base letter with a mark is one letter; letters that were not part of one are replaced then
     quoted = lambda x: x.replace("'", "''")
-    return f"nfc_normalize(translate({folded}, '{quoted(''.join(single))}', '{quoted(''.join(single.values()))}'))"
+    return f"nfc_normalize(translate(nfc_normalize({folded}), '{quoted(''.join(single))}', '{quoted(''.join(single.values()))}'))"
 
 
 WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
