@@ -25,6 +25,14 @@ PREDICATES = {
     "uses": (["Concept", "Implementation"], ["Concept", "Implementation"]),
     "optimized_by": (["Concept"], ["Concept"]),
 }
+# The wording of the messages, by rule.
+MESSAGES = {
+    "invalid_class": "Class '%s' is not in the ontology taxonomy",
+    "invalid_predicate": "Predicate '%s' is not allowed",
+    "type_mismatch": "Predicate '%s' invalid between '%s' and '%s'",
+    "cycle_detected": "Circular taxonomy chain detected involving '%s'",
+    "orphan_implementation": "Implementation node has no link to a parent concept",
+}
 HIERARCHY, CONCEPT_LINKS = ["is_a", "part_of"], ["example_of", "is_a", "part_of"]
 
 
@@ -57,13 +65,13 @@ def _base(column: Column) -> Column:
 def invalid_classes(objects: DataFrame) -> DataFrame:
     """Objects ``(batch, id, ontology_class)`` with a class that is set and not in the taxonomy."""
     bad = objects.where((F.coalesce("ontology_class", F.lit("")) != "") & ~F.col("ontology_class").isin([c[0] for c in CLASSES]))
-    return bad.select("batch", F.col("id").alias("object_id"), F.lit("invalid_class").alias("rule"), F.format_string("Class '%s' is not in the ontology taxonomy", "ontology_class").alias("message"))
+    return bad.select("batch", F.col("id").alias("object_id"), F.lit("invalid_class").alias("rule"), F.format_string(MESSAGES["invalid_class"], "ontology_class").alias("message"))
 
 
 def invalid_predicates(links: DataFrame) -> DataFrame:
     """Links ``(batch, source_id, target_id, predicate)`` with a predicate that is not allowed."""
     bad = links.where(~F.coalesce(F.col("predicate").isin(list(PREDICATES)), F.lit(False)))
-    return bad.select("batch", F.col("source_id").alias("object_id"), F.lit("invalid_predicate").alias("rule"), F.format_string("Predicate '%s' is not allowed", F.coalesce("predicate", F.lit(""))).alias("message"))
+    return bad.select("batch", F.col("source_id").alias("object_id"), F.lit("invalid_predicate").alias("rule"), F.format_string(MESSAGES["invalid_predicate"], F.coalesce("predicate", F.lit(""))).alias("message"))
 
 
 def type_mismatches(links: DataFrame, objects: DataFrame) -> DataFrame:
@@ -75,7 +83,7 @@ def type_mismatches(links: DataFrame, objects: DataFrame) -> DataFrame:
     allowed = F.lit(False)
     for p, (sources, targets) in PREDICATES.items():
         allowed = allowed | ((F.col("predicate") == p) & _base(F.col("source_class")).isin(sources) & _base(F.col("target_class")).isin(targets))
-    message = F.format_string("Predicate '%s' invalid between '%s' and '%s'", "predicate", "source_class", "target_class")
+    message = F.format_string(MESSAGES["type_mismatch"], "predicate", "source_class", "target_class")
     return both.where(~allowed).select("batch", F.col("source_id").alias("object_id"), F.lit("type_mismatch").alias("rule"), message.alias("message"))
 
 
@@ -109,7 +117,7 @@ def cycles(links: DataFrame, rounds: int = 64) -> DataFrame:
         if done:
             break
     found = reach.where("a = b").select("batch", F.col("a").alias("object_id")).distinct()
-    return found.select("batch", "object_id", F.lit("cycle_detected").alias("rule"), F.format_string("Circular taxonomy chain detected involving '%s'", "object_id").alias("message"))
+    return found.select("batch", "object_id", F.lit("cycle_detected").alias("rule"), F.format_string(MESSAGES["cycle_detected"], "object_id").alias("message"))
 
 
 def orphans(objects: DataFrame, links: DataFrame) -> DataFrame:
@@ -118,7 +126,7 @@ def orphans(objects: DataFrame, links: DataFrame) -> DataFrame:
     concepts = objects.where("type = 'concept'").select("batch", F.col("id").alias("target_id")).distinct()
     linked = links.where(F.col("predicate").isin(CONCEPT_LINKS)).join(concepts, ["batch", "target_id"], "left_semi").select("batch", F.col("source_id").alias("id")).distinct()
     bad = empty.join(linked, ["batch", "id"], "left_anti")
-    return bad.select("batch", F.col("id").alias("object_id"), F.lit("orphan_implementation").alias("rule"), F.lit("Implementation node has no link to a parent concept").alias("message"))
+    return bad.select("batch", F.col("id").alias("object_id"), F.lit("orphan_implementation").alias("rule"), F.lit(MESSAGES["orphan_implementation"]).alias("message"))
 
 
 def validate(objects: DataFrame, links: DataFrame) -> DataFrame:

@@ -133,12 +133,18 @@ def pointers(hits: DataFrame, key: str, query: str) -> DataFrame:
     )
 
 
+# The wording of the report.
+NOTHING_FOUND = "No relevant documents found for this query."
+REPORT_TITLE = "# Search Results for: "
+REPORT_HINT = "The following files contain relevant information. Read the files to answer the query."
+
+
 def pointer_report(found: DataFrame, query: str) -> str:
     """The pointers as one markdown text (at most the top list's rows come to the driver)."""
     rows = found.orderBy("rank").collect()
     if not rows:
-        return "No relevant documents found for this query."
-    lines = [f"# Search Results for: {query}", "", "The following files contain relevant information. Read the files to answer the query.", ""]
+        return NOTHING_FOUND
+    lines = [REPORT_TITLE + query, "", REPORT_HINT, ""]
     for i, r in enumerate(rows, 1):
         lines += [f"## {i}. {r['name']}", f"**File:** `{r['file']}`", f"**Relevance:** {r['score']}"]
         lines += [f"**Matched terms:** {r['why']}"] if r["why"] else []
