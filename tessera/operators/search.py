@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import index_terms, query_terms, strip_spaces
+from tessera.functions.text import index_terms, let, query_terms, strip_spaces
 
 # The searchable columns in their order, and what a hit in each is worth.
 WEIGHTS = {"object_id": 0.0, "name": 10.0, "content": 1.0, "tags": 5.0, "file_path": 8.0, "domain": 5.0, "sections": 6.0, "keywords": 6.0}
@@ -84,12 +84,14 @@ def search_documents(documents: DataFrame, key: str, query: str, limit: int = 10
     """
     terms = query_terms(query)
     distinct = sorted(set(terms))
-    found = documents.withColumns({f"_{c}": index_terms(F.col(c)) for c in WEIGHTS})
-    found = found.withColumn("_n", sum((F.size(f"_{c}") for c in WEIGHTS), F.lit(0)).cast("long"))
-    hits = {t: sum((_count(F.col(f"_{c}"), t) for c in WEIGHTS), F.lit(0)) for t in distinct}
-    weights = {t: sum((_count(F.col(f"_{c}"), t) * w for c, w in WEIGHTS.items()), F.lit(0.0)) for t in distinct}
     if not distinct:
         return documents.withColumn("score", F.lit(0.0)).limit(0)
+    # per column: the number of its terms, then how often each term of the query is among them
+    numbers = {f"_{c}": let(index_terms(F.col(c)), lambda t: F.array(F.size(t), *[_count(t, term) for term in distinct])) for c in WEIGHTS}
+    found = documents.withColumns(numbers)
+    found = found.withColumn("_n", sum((F.get(f"_{c}", F.lit(0)) for c in WEIGHTS), F.lit(0)).cast("long"))
+    hits = {t: sum((F.get(f"_{c}", F.lit(i)) for c in WEIGHTS), F.lit(0)) for i, t in enumerate(distinct, 1)}
+    weights = {t: sum((F.get(f"_{c}", F.lit(i)) * w for c, w in WEIGHTS.items()), F.lit(0.0)) for i, t in enumerate(distinct, 1)}
     slim = found.select(*documents.columns, "_n", *[hits[t].alias(f"_h{i}") for i, t in enumerate(distinct)], *[weights[t].alias(f"_w{i}") for i, t in enumerate(distinct)])
     stats = slim.agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("terms"), *[F.sum((F.col(f"_h{i}") > 0).cast("long")).alias(f"h{i}") for i in range(len(distinct))]).first()
     if not stats["n"]:
