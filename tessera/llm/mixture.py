@@ -42,7 +42,7 @@ GOLDEN = 0.6180339887498949
 
 
 def clean_source(column: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(column)), r"[\s\-]+", "_")
+    return F.regexp_replace(F.regexp_replace(F.lower(column), r"^\s+|\s+$", ""), r"[\s\-]+", "_")
 
 
 def load_tokenizer(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):

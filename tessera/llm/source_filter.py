@@ -71,7 +71,7 @@ def extension(path: Column) -> Column:
 
 def code_paths(file_state: DataFrame) -> DataFrame:
     """Distinct paths of code files, by recorded type or, where that is null, by extension."""
-    kind = F.lower(F.trim("file_type"))
+    kind = F.lower(F.regexp_replace("file_type", r"^\s+|\s+$", ""))
     by_name = F.col("file_type").isNull() & F.concat(F.lit("."), extension(F.col("file_path"))).isin(CODE_EXTENSIONS)
     return file_state.where(F.col("file_path").isNotNull() & ((kind == "code") | by_name)).select("file_path").distinct()
 
