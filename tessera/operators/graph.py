@@ -82,14 +82,16 @@ def neighbourhood(edges: DataFrame, start: str, hops: int = 2) -> DataFrame:
     back = links.where("source_id <> target_id").select(F.col("target_id").alias("here"), F.col("source_id").alias("there"), "rel", "edge")
     steps = out.unionByName(back)
     frontier = steps.where(F.col("here") == start).select(F.array("here", "there").alias("path_nodes"), F.array("rel").alias("path_rels"), F.array("edge").alias("used"), F.col("there").alias("last"))
+    # a start without a first step has no path at all: the paths themselves are never broadcast
+    one = edges.sparkSession.createDataFrame([(start,)], "source string")
+    alone = one.join(F.broadcast(frontier.select("last").limit(1)), F.lit(True), "left_anti")
     found = frontier
     for _ in range(hops - 1):
         joined = frontier.join(steps, frontier["last"] == steps["here"]).where(~F.array_contains("used", F.col("edge")))
         frontier = joined.select(F.array_append("path_nodes", F.col("there")).alias("path_nodes"), F.array_append("path_rels", F.col("rel")).alias("path_rels"), F.array_append("used", F.col("edge")).alias("used"), F.col("there").alias("last"))
         found = found.unionByName(frontier)
-    paths = found.select("path_nodes", "path_rels")
-    one = edges.sparkSession.createDataFrame([(start,)], "source string")
-    return one.join(paths.withColumn("source", F.lit(start)), "source", "left").select("source", "path_nodes", "path_rels")
+    paths = found.select(F.lit(start).alias("source"), "path_nodes", "path_rels")
+    return paths.unionByName(alone, allowMissingColumns=True)
 
 
 def export_json(edges: DataFrame, doc_meta: DataFrame) -> DataFrame:

@@ -98,6 +98,14 @@ def neighbourhood(spark, folder):
     return paths.select("source", F.array_join("path_nodes", " > ").alias("path_nodes"), F.array_join("path_rels", " > ").alias("path_rels"))
 
 
+def neighbourhood_all(spark, folder):
+    """Paths of up to two edges with any ontology predicate around the object that most edges of any kind point to."""
+    edges = table(spark, folder, "edges")
+    top = graph.hubs(edges, table(spark, folder, "doc_meta"), 1).first()
+    paths = graph.neighbourhood(edges, top["id"] if top else "", 2)
+    return paths.select("source", F.array_join("path_nodes", " > ").alias("path_nodes"), F.array_join("path_rels", " > ").alias("path_rels"))
+
+
 def graph_export(spark, folder):
     return graph.export_json(table(spark, folder, "edges"), table(spark, folder, "doc_meta"))
 
@@ -189,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff, deleted_paths, status_counts, content_duplicates, upsert_last_wins, edge_upsert, duplicate_objects, object_lookup, linkable_edges, hubs, graph_nodes, closed_edges, degrees,
-        neighbourhood, graph_export, class_check, predicate_check, type_check, cycle_check, edge_cycles, orphan_check, class_bases, cosine_top, cosine_filtered, embed_misses, bm25_single, bm25_multi,
+        neighbourhood, neighbourhood_all, graph_export, class_check, predicate_check, type_check, cycle_check, edge_cycles, orphan_check, class_bases, cosine_top, cosine_filtered, embed_misses, bm25_single, bm25_multi,
         pointers, postings,
     )
 }
@@ -260,6 +268,12 @@ ORACLES = {
       one AS (SELECT h || ' > ' || t AS path_nodes, rel AS path_rels, edge, t FROM k, s WHERE h = start),
       two AS (SELECT path_nodes || ' > ' || k.t AS path_nodes, path_rels || ' > ' || k.rel AS path_rels FROM one JOIN k ON k.h = one.t WHERE k.edge <> one.edge)
       SELECT start AS source, path_nodes, path_rels FROM s LEFT JOIN (SELECT path_nodes, path_rels FROM one UNION ALL SELECT * FROM two) ON true""",
+    "neighbourhood_all": f"""WITH {EDGES}, s AS (SELECT target_id AS start FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+      o AS (SELECT source_id, target_id, upper(predicate) AS rel, source_id || '|' || predicate || '|' || target_id AS edge FROM e WHERE predicate IN {PREDICATES}),
+      k AS (SELECT source_id AS h, target_id AS t, rel, edge FROM o UNION ALL SELECT target_id, source_id, rel, edge FROM o WHERE source_id <> target_id),
+      one AS (SELECT h || ' > ' || t AS path_nodes, rel AS path_rels, edge, t FROM k, s WHERE h = start),
+      two AS (SELECT path_nodes || ' > ' || k.t AS path_nodes, path_rels || ' > ' || k.rel AS path_rels FROM one JOIN k ON k.h = one.t WHERE k.edge <> one.edge)
+      SELECT start AS source, path_nodes, path_rels FROM s LEFT JOIN (SELECT path_nodes, path_rels FROM one UNION ALL SELECT * FROM two) ON true""",
     "class_check": f"""WITH o AS (SELECT object_id, ontology_class AS c FROM concept_catalog UNION ALL SELECT * FROM (SELECT DISTINCT object_id, domain FROM doc_meta WHERE object_id IS NOT NULL))
       SELECT object_id, 'invalid_class' AS rule, 'Class ''' || c || ''' is not in the ontology taxonomy' AS message FROM o WHERE coalesce(c, '') <> '' AND c NOT IN {CLASSES}""",
     "predicate_check": f"WITH {LINKS} SELECT source_id AS object_id, 'invalid_predicate' AS rule, 'Predicate ''' || coalesce(predicate, '') || ''' is not allowed' AS message FROM l WHERE predicate IS NULL OR predicate NOT IN {PREDICATES}",
