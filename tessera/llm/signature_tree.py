@@ -351,12 +351,22 @@ def _search_cells(cells, ranks, sides, row, ids, n, sig, threshold: float) -> It
 # ---- operator -----------------------------------------------------------------------------------
 
 
-def distinct_texts(df: DataFrame, key: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(texts(id, words), members(id, key)): one id for each distinct sequence of words."""
-    rows = df.select(F.col(key).alias("key"), normal_words(F.col(text)).alias("words")).where("key is not null and words <> ''")
-    if shingle > 1:
-        rows = rows.where(F.size(F.split("words", " ")) >= shingle)
-    rows = rows.select("key", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(7)).alias("h2"))
+def _has_shingle(shingle: int) -> Column:
+    return (F.col("words") != "") & (F.size(F.split("words", " ")) >= shingle)
+
+
+def distinct_texts(df: DataFrame, key: str, text: str, shingle: int, short: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts(id, words), members(id, key)): one id for each distinct sequence of words.
+
+    With ``short``, also for texts of fewer words than a shingle; texts without a word, but not blank, are told apart as they stand.
+    """
+    rows = df.select(F.col(key).alias("key"), normal_words(F.col(text)).alias("words"), F.col(text).alias("text")).where("key is not null")
+    if short:
+        rows = rows.where((F.col("words") != "") | F.col("text").rlike(r"[^\s\p{Z}]"))
+    else:
+        rows = rows.where(_has_shingle(shingle))
+    same = F.when(F.col("words") == "", F.col("text")).otherwise(F.col("words")) if short else F.col("words")
+    rows = rows.select("key", "words", F.xxhash64(same).alias("h1"), F.xxhash64(same, F.lit(7)).alias("h2"))
     texts = rows.groupBy("h1", "h2").agg(F.first("words").alias("words"))
     texts = stage(texts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "words"), "texts")
     members = rows.select("h1", "h2", "key").distinct().join(texts.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "key")
@@ -427,8 +437,11 @@ def similar_records(df: DataFrame, key: str, text: str, shingle: int, threshold:
 
 
 def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, threshold: float = 0.8, combo: int = 1) -> DataFrame:
-    """(key, class, n_links): every key with a text, its class of equal texts and how many other classes are similar to that one."""
-    texts, members = distinct_texts(df, key, text, shingle)
-    near = similar_texts(texts, shingle, threshold, combo)
+    """(key, class, n_links): every key with a text, its class of equal texts and how many other classes are similar to that one.
+
+    Texts of fewer words than a shingle have only their exact copies.
+    """
+    texts, members = distinct_texts(df, key, text, shingle, short=True)
+    near = similar_texts(texts.where(_has_shingle(shingle)), shingle, threshold, combo)
     links = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     return members.join(links, "id", "left").select("key", F.col("id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

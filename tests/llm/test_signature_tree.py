@@ -98,3 +98,13 @@ def test_classes(spark):
     frame = spark.createDataFrame(items, "key string, text string").withColumn("id", F.lit(3))
     rows = {r["key"]: (r["class"], r["n_links"]) for r in st.similar_classes(frame, "key", "text").collect()}
     assert rows["a"] == rows["b"] and rows["a"][1] == 1 and rows["c"][1] == 1 and rows["d"][1] == 0 and len({c for c, _ in rows.values()}) == 3
+
+
+def test_classes_of_short_texts(spark):
+    items = [("a", "one two"), ("b", "One, two!"), ("c", "one"), ("d", "***"), ("e", "***"), ("f", "- - - - - -"), ("g", " \t"), ("h", ""), ("i", None), ("j", "a b c d e"), ("k", "a b c d e"), (None, "one")]
+    rows = {r["key"]: (r["class"], r["n_links"]) for r in st.similar_classes(spark.createDataFrame(items, "key string, text string"), "key", "text").collect()}
+    classes = {}
+    for key, (name, _) in sorted(rows.items()):
+        classes.setdefault(name, []).append(key)
+    assert sorted(classes.values()) == [["a", "b"], ["c"], ["d", "e"], ["f"], ["j", "k"]]
+    assert {n for _, n in rows.values()} == {0}
