@@ -105,6 +105,11 @@ def hash_vectors(spark, folder):
     return rows.select("doc_id", F.posexplode(F.slice(hash_embedding(F.col("name"), 32), 1, 4)).alias("i", "value")).select("doc_id", F.col("i").cast("long").alias("i"), "value")
 
 
+def hash_vectors_full(spark, folder):
+    """The whole vector of every name, zeros for a blank one."""
+    return _docs(spark, folder, "name").where("name is not null").select("doc_id", hash_embedding(F.col("name")).alias("vector"))
+
+
 def _notes(spark, folder):
     return table(spark, folder, "knowledge_store").where("level_0 is not null and object_id is not null").select("object_id", F.col("level_0").alias("text")).distinct()
 
@@ -156,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         slugs, split_identifiers, name_domains, tag_domains, token_estimates, embedding_texts, file_types, ignored_paths, term_frequency, document_frequency, keywords_unigram, keywords_bigram,
-        proper_nouns, keywords_top100, outlines, passages, summaries, hash_vectors, markdown_headings, markdown_links, markdown_tags, markdown_blocks, markdown_front_matter, code_comments,
+        proper_nouns, keywords_top100, outlines, passages, summaries, hash_vectors, hash_vectors_full, markdown_headings, markdown_links, markdown_tags, markdown_blocks, markdown_front_matter, code_comments,
         compiled_objects, object_json,
     )
 }
@@ -245,6 +250,8 @@ ORACLES = {
     s AS (SELECT doc_id, CASE WHEN len(p) <= 3 THEN p ELSE [p[1], p[len(p) // 2 + 1], p[len(p)]] END AS s FROM p)
     SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS passage FROM s""",
     "hash_vectors": "SELECT doc_id, i::BIGINT AS i, ((('0x' || substr(sha256(name), 2 * i + 1, 2))::INTEGER) - 128) / 128.0::DOUBLE AS value FROM documents, range(4) r(i) WHERE name IS NOT NULL",
+    "hash_vectors_full": r"""SELECT doc_id, list_transform(range(1024), lambda i: CASE WHEN regexp_matches(name, '[^\s\p{Z}]') THEN ((('0x' || substr(h, 2 * (i % 32)::INTEGER + 1, 2))::INTEGER) - 128) / 128.0::DOUBLE ELSE 0::DOUBLE END) AS vector
+      FROM (SELECT doc_id, name, sha256(name) AS h FROM documents WHERE name IS NOT NULL)""",
     "markdown_headings": f"WITH {NOTES} SELECT object_id, node, level, line, line_end, is_leaf FROM h",
     "markdown_links": rf"""WITH {NOTES}, m AS (SELECT object_id, n, unnest(regexp_extract_all(line, '\[\[([^\]|\\]+)(?:[\\|]+([^\]]+))?\]\]', 1)) AS t, unnest(regexp_extract_all(line, '\[\[([^\]|\\]+)(?:[\\|]+([^\]]+))?\]\]', 2)) AS a FROM ln)
     SELECT object_id, {STRIP.format('t')} AS target, nullif({STRIP.format('a')}, '') AS alias, n::BIGINT AS line FROM m""",

@@ -1,3 +1,5 @@
+import hashlib
+
 import __spark_entry__ as entry
 from tessera.operators import ontology
 
@@ -25,3 +27,10 @@ def test_neighbourhood_all(spark, tmp_path):
     assert {r["source"] for r in found} == {"hub"}
     assert sorted((r["path_nodes"], r["path_rels"]) for r in found) == brute_force(edges, "hub")
     assert {rel for r in found for rel in r["path_rels"].split(" > ")} == {p.upper() for p in ontology.PREDICATES}
+
+
+def test_hash_vectors_full(spark, tmp_path):
+    save(spark, tmp_path, "documents", [(1, "abc"), (2, " \t"), (3, None), (4, "Ünïcode"), (5, "")], "doc_id long, name string")
+    found = {r["doc_id"]: r["vector"] for r in entry.queries()["hash_vectors_full"](spark, str(tmp_path)).collect()}
+    whole = lambda text: [(b - 128) / 128 for b in hashlib.sha256(text.encode()).digest()] * 32
+    assert found == {1: whole("abc"), 2: [0.0] * 1024, 4: whole("Ünïcode"), 5: [0.0] * 1024}
