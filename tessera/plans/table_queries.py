@@ -140,7 +140,7 @@ def type_check(spark, folder):
 
 
 def cycle_check(spark, folder):
-    """Circles in the hierarchy of the catalog and the recorded edges, with each catalogued domain also below one of its concepts."""
+    """Circles in the hierarchy of the catalog alone, with each catalogued domain also below one of its concepts."""
     catalog = table(spark, folder, "concept_catalog").where("parent_id is not null")
     down = catalog.select(F.col("object_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
     up = catalog.groupBy(F.col("parent_id").alias("source_id")).agg(F.min("object_id").alias("target_id")).select("source_id", "target_id", F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
@@ -151,6 +151,13 @@ def edge_cycles(spark, folder):
     return ontology.cycles(_links(spark, folder)).select("object_id", "rule")
 
 
+def hierarchy_cycles(spark, folder):
+    """Circles in the catalog's hierarchy and the recorded edges taken together."""
+    catalog = table(spark, folder, "concept_catalog").where("parent_id is not null")
+    parents = catalog.select(F.col("object_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
+    return ontology.cycles(_links(spark, folder).unionByName(parents)).select("object_id", "rule")
+
+
 def orphan_check(spark, folder):
     return ontology.orphans(_objects(spark, folder), _links(spark, folder)).select("object_id", "rule")
 
@@ -197,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff, deleted_paths, status_counts, content_duplicates, upsert_last_wins, edge_upsert, duplicate_objects, object_lookup, linkable_edges, hubs, graph_nodes, closed_edges, degrees,
-        neighbourhood, neighbourhood_all, graph_export, class_check, predicate_check, type_check, cycle_check, edge_cycles, orphan_check, class_bases, cosine_top, cosine_filtered, embed_misses, bm25_single, bm25_multi,
+        neighbourhood, neighbourhood_all, graph_export, class_check, predicate_check, type_check, cycle_check, edge_cycles, hierarchy_cycles, orphan_check, class_bases, cosine_top, cosine_filtered, embed_misses, bm25_single, bm25_multi,
         pointers, postings,
     )
 }
@@ -283,6 +290,8 @@ ORACLES = {
       reach AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM reach r JOIN h ON h.a = r.b) {CYCLE}""",
     "edge_cycles": f"""WITH RECURSIVE h AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE predicate IN ('is_a', 'part_of') AND source_id IS NOT NULL AND target_id IS NOT NULL),
       reach AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM reach r JOIN h ON h.a = r.b) {CYCLE}""",
+    "hierarchy_cycles": f"""WITH RECURSIVE h AS (SELECT source_id AS a, target_id AS b FROM edges WHERE predicate IN ('is_a', 'part_of') AND source_id IS NOT NULL AND target_id IS NOT NULL UNION SELECT object_id, parent_id FROM concept_catalog WHERE parent_id IS NOT NULL),
+      reach AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM reach r JOIN h ON h.a = r.b) {CYCLE}""",
     "orphan_check": f"""WITH {LINKS}, {OBJECTS}, k AS (SELECT object_id AS id, max(coalesce(level_0, '')) AS l0, max(coalesce(level_2, '')) AS l2 FROM knowledge_store GROUP BY 1)
       SELECT b.id AS object_id, 'orphan_implementation' AS rule FROM b LEFT JOIN k ON k.id = b.id WHERE b.type = 'implementation' AND coalesce(l0, '') = '' AND coalesce(l2, '') = ''
       AND NOT EXISTS (SELECT 1 FROM l JOIN b c ON c.id = l.target_id AND c.type = 'concept' WHERE l.source_id = b.id AND l.predicate IN ('example_of', 'is_a', 'part_of'))""",

@@ -34,3 +34,11 @@ def test_hash_vectors_full(spark, tmp_path):
     found = {r["doc_id"]: r["vector"] for r in entry.queries()["hash_vectors_full"](spark, str(tmp_path)).collect()}
     whole = lambda text: [(b - 128) / 128 for b in hashlib.sha256(text.encode()).digest()] * 32
     assert found == {1: whole("abc"), 2: [0.0] * 1024, 4: whole("Ünïcode"), 5: [0.0] * 1024}
+
+
+def test_hierarchy_cycles(spark, tmp_path):
+    """A circle that needs a catalog parent and a recorded edge, next to one of edges alone."""
+    save(spark, tmp_path, "concept_catalog", [("leaf", "middle"), ("middle", "root"), ("root", None), ("other", "root")], "object_id string, parent_id string")
+    save(spark, tmp_path, "edges", [("root", "x", "is_a"), ("x", "leaf", "part_of"), ("a", "b", "is_a"), ("b", "a", "is_a"), ("root", "other", "uses"), (None, "leaf", "is_a"), ("leaf", None, "is_a")], "source_id string, target_id string, predicate string")
+    found = {r["object_id"] for r in entry.queries()["hierarchy_cycles"](spark, str(tmp_path)).collect()}
+    assert found == {"root", "x", "leaf", "middle", "a", "b"}
