@@ -60,6 +60,9 @@ LIMITS = {
     "rs": (140, 280, 0.10), "java": (150, 300, 0.10), "cs": (150, 300, 0.10),
 }
 OTHER_LIMITS = (150, 280, 0.10)
+#: Per language: least alphanumeric share of a dense head that is encoded data whatever the length of its lines, and least
+#: characters of such a head. In sf0.1 other heads stay below 0.84, dense ones below 0.82.
+ALNUM_SHARE, OTHER_ALNUM_SHARE, ALNUM_CHARS = {"js": 0.86, "mjs": 0.86, "ts": 0.86, "jsx": 0.86, "tsx": 0.86}, 0.85, 100
 #: Share of a head made of numeric literals; least lines for a table of string literals, and their share.
 NUMERIC_SHARE, TABLE_LINES, TABLE_SHARE = 0.5, 60, 0.85
 KINDS = ["generated", "minified", "vendored", "data"]
@@ -113,7 +116,11 @@ def judge_heads(heads: DataFrame) -> DataFrame:
     encoded = F.coalesce(F.col("encoded_run"), F.lit(False))
     numeric = F.coalesce(F.col("numeric_share") >= NUMERIC_SHARE, F.lit(False))
     table = F.coalesce((F.col("literal_line_share") >= TABLE_SHARE) & (F.col("n_lines") >= TABLE_LINES), F.lit(False))
-    data = encoded | numeric | table
+    least = F.lit(OTHER_ALNUM_SHARE)
+    for name, share in ALNUM_SHARE.items():
+        least = F.when(F.col("ext") == name, F.lit(share)).otherwise(least)
+    wrapped = F.coalesce(dense & (F.col("alnum_share") >= least) & (F.length("head") >= ALNUM_CHARS), F.lit(False))
+    data = encoded | numeric | table | wrapped
     long = F.coalesce(F.col("mean_line") >= _limit(F.col("ext"), 0), F.lit(False)) | F.coalesce((F.col("max_line") >= _limit(F.col("ext"), 1)) & dense, F.lit(False))
     flag = lambda pattern: F.coalesce(F.col("comments").rlike(pattern), F.lit(False))
     return stats.select("file_path", flag(GENERATED_HEAD).alias("h_generated"), (long & ~data).alias("h_minified"), flag(VENDOR_HEAD).alias("h_vendored"), data.alias("h_data"))

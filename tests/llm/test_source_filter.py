@@ -62,3 +62,12 @@ def test_edges(spark):
     assert [tuple(r) for r in sf.classify_sources(state, heads).collect()] == [("/x.py", [])]
     assert sf.handwritten_sources(state, heads).count() == 1
     assert sf.classify_sources(state.limit(0), heads).count() == 0 and sf.foreign_sources(state, heads.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("path", ["/code/a/src/x.py", "/code/a/src/x.ts", "/code/a/src/x.go"])
+def test_wrapped_encoded_data(spark, path):
+    """Base64 and hex in lines too short for an encoded run show by their density alone."""
+    base64 = "\n".join(["    " + "aB3/dE5fG7hJ9kLmmN1pQ3rS5tU7vW9xY+0" * 2] * 5)
+    assert kinds(spark, path, 'X = """\n' + base64) == ["data"]
+    assert kinds(spark, path, "X = `\n" + "\n".join(["00ff1e2d" * 9] * 5)) == ["data"]
+    assert kinds(spark, path, "a_long_name_of_a_thing = another_name(first_value, second_value)\n" * 6) == []
