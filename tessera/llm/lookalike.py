@@ -1,23 +1,28 @@
 """One form for text that looks the same but differs in its characters.
 
-Words are matched against tries of the collection's own well-formed spellings by a weighted edit
-automaton in which look-alike letters, width forms, ligatures, combining sequences and ignorable
-characters cost nothing; the accepted spelling that stands for the whole class is taken. Words that
-no trie accepts are normalised by table. Blanks of any width become one space.
-
-The vocabulary is split by the hash of a word's folded form, so equal-looking spellings meet in one
-bounded task; only words that folding changes are looked up, and only the documents that hold such
-words are rewritten. ASCII documents never leave the JVM.
+Words are matched against tries of the collection's own spellings by a weighted edit automaton. The
+tries hold each spelling in its own letters; the automaton reads a word as it stands, and a step along
+an edge whose letter looks like the one that was read costs nothing, as do ignorable characters, width
+forms, ligatures and combining sequences; everything else costs one edit. Of the spellings that are
+accepted at no cost one stands for the whole class. Words that no trie accepts are normalised by table,
+which resolves characters but leaves each letter in its script.
+
+Only words that may have another spelling are looked up, and only vocabulary that could be accepted for
+one of them is counted and shipped; it is split by the hash of a word's skeleton, so equal-looking
+spellings meet in one bounded task. Only documents that hold such words are rewritten, and ASCII
+documents never leave the JVM.
 
 Defined results: a null text stays null and has no pairs; an empty or blank text becomes the empty
 string, and blank texts that differ are pairs of one another; repeated equal texts are no pairs;
 line breaks count, trailing blanks and blank line ends do not; texts of any length are processed whole.
+Letters that are only similar (Greek alpha, dotless i, mathematical alphabets) look different.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -25,20 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.staging import stage
+from tessera.staging import small_enough, stage
 
 # Letters of other scripts whose usual glyph is that of a Latin letter.
 CYRILLIC = dict(zip("АВЕКМНОРСТУХІЈЅҮӀԌԚԜаеорсухіјѕһүӏԁԛԝ", "ABEKMHOPCTYXIJSYIGQWaeopcyxijshyldqw", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
 OTHER = {"ɡ": "g", "‐": "-", "‑": "-", "՝": "'", "օ": "o", "ս": "u", "ո": "n", "հ": "h"}
-LOOKALIKES = str.maketrans(CYRILLIC | GREEK | OTHER)
+LOOKALIKES = str.maketrans(CYRILLIC | GREEK | CHEROKEE | OTHER)
 # Width forms, Latin ligatures and Roman numeral characters take their compatibility form; other compatibility characters look different.
 WIDTH_FORMS = str.maketrans({chr(c): unicodedata.normalize("NFKC", chr(c)) for r in (range(0xFF01, 0xFFEF), range(0xFB00, 0xFB07), range(0x2160, 0x2180)) for c in r})
 IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
-CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}+")
 BLANKS = regex.compile(r"[^\S\n]+")
 TOKEN = regex.compile(r"\S+")
 ASCII_BLANK = r"[ \t\r\x0b\f\x1c-\x1f]"
+#: Words of a trie, about; skeletons up to this number (8 bytes each) are broadcast.
+TRIE_WORDS, BROADCAST_SKELETONS = 20_000, 500_000
 
 
 def table_form(token: str) -> str:
@@ -47,7 +54,7 @@ def table_form(token: str) -> str:
 
 
 def fold(token: str) -> str:
-    """The table form with look-alike letters in their Latin form: equal for all spellings that look the same."""
+    """The skeleton: the table form with look-alike letters in their Latin form, equal for all spellings that look the same."""
     if token.isascii():
         return token
     parts = unicodedata.normalize("NFD", IGNORABLE.sub("", token).translate(WIDTH_FORMS)).translate(LOOKALIKES)
@@ -64,12 +71,22 @@ def well_formed(token: str) -> bool:
     return len(scripts) <= 1
 
 
+@lru_cache(maxsize=1)
+def look_table() -> dict[str, str]:
+    """Each letter that has look-alikes, and all letters that look like it, itself among them."""
+    classes: dict[str, str] = {}
+    for code, latin in LOOKALIKES.items():
+        classes[latin] = classes.get(latin, latin) + chr(code)
+    return {letter: letters for letters in classes.values() for letter in letters}
+
+
 class SpellingTrie:
-    """A trie of spellings, traversed by an automaton of edits with weights.
+    """A trie of spellings in their own letters, traversed by an automaton of edits with weights.
 
-    A step that consumes one character cluster along an edge of the same folded form costs 0, an
-    ignorable costs 0, any other substitution, insertion or deletion costs 1. States over ``budget``
-    are dropped; with the budget 0 only spellings that look the same are accepted.
+    The automaton reads the token as it stands. Passing over an ignorable costs 0, and so does a step
+    along an edge of the letter read or of one that looks like it; a width form or ligature is read as
+    the letters that it stands for. Any other substitution, insertion or deletion costs 1. States over
+    ``budget`` are dropped; with the budget 0 only spellings that look the same are accepted.
     """
 
     def __init__(self) -> None:
@@ -78,7 +95,7 @@ class SpellingTrie:
 
     def add(self, word: str, count: int) -> None:
         node = 0
-        for c in fold(word):
+        for c in unicodedata.normalize("NFD", word):
             found = self.edges[node].get(c)
             if found is None:
                 found = self.edges[node][c] = len(self.edges)
@@ -89,9 +106,9 @@ class SpellingTrie:
 
     def accept(self, token: str, budget: int = 0) -> list[tuple[int, str, int]]:
         """(cost, word, count) of every accepted word."""
-        states = {0: 0}
-        for cluster in CLUSTER.findall(IGNORABLE.sub("", token)):
-            for c in fold(cluster):
+        states, looks = {0: 0}, look_table()
+        for c in unicodedata.normalize("NFD", IGNORABLE.sub("", token)):
+            for letter in WIDTH_FORMS.get(ord(c), c):
                 after: dict[int, int] = {}
 
                 def reach(node: int, cost: int, after: dict[int, int] = after) -> None:
@@ -99,12 +116,13 @@ class SpellingTrie:
                         after[node] = cost
 
                 for node, cost in self._with_insertions(states, budget).items():
-                    same = self.edges[node].get(c)
-                    if same is not None:
-                        reach(same, cost)
+                    edges = self.edges[node]
+                    for same in looks.get(letter, letter):
+                        if same in edges:
+                            reach(edges[same], cost)
                     if cost < budget:
                         reach(node, cost + 1)
-                        for child in self.edges[node].values():
+                        for child in edges.values():
                             reach(child, cost + 1)
                 states = after
                 if not states:
@@ -126,19 +144,18 @@ class SpellingTrie:
 
 
 def choose_spelling(token: str, accepted: list[tuple[int, str, int]]) -> str:
-    """The folded form if the collection uses it, else the most frequent accepted spelling, else the table's form."""
+    """Of the spellings accepted at no cost the plain Latin one if it is a word of one script, else the most frequent such word, else the most frequent; without any, the table's form."""
     zero = [(word, count) for cost, word, count in accepted if cost == 0]
-    folded = fold(token)
-    if not zero or any(word == folded for word, _ in zero):
-        return folded
-    return min(zero, key=lambda x: (-x[1], x[0]))[0]
+    if not zero:
+        return table_form(token)
+    skeleton = fold(token)
+    return min(zero, key=lambda x: (not well_formed(x[0]), x[0] != skeleton, -x[1], x[0]))[0]
 
 
 def _spell(vocabulary: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
     trie = SpellingTrie()
     for word, count in zip(vocabulary["token"], vocabulary["n"], strict=True):
-        if well_formed(word):
-            trie.add(word, int(count))
+        trie.add(table_form(word), int(count))
     tokens = list(wanted["token"])
     return pd.DataFrame({"token": tokens, "spelling": [choose_spelling(t, trie.accept(t)) for t in tokens]}, dtype=object)
 
@@ -194,18 +211,28 @@ def _ascii_layout(column: str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r" +(?=\n|\z)", ""), r"\n+\z", "")
 
 
-def spelling_map(docs: DataFrame, changed: DataFrame, parts: int | None = None) -> DataFrame:
-    """(token, spelling) for every distinct changed token, by trie traversal per hash range of folded forms.
+def spelling_map(docs: DataFrame, changed: DataFrame, trie_words: int = TRIE_WORDS) -> DataFrame:
+    """(token, spelling) for every distinct changed token, by trie traversal per hash range of skeletons.
 
-    ``changed`` has ``token`` and ``folded``. The vocabulary is counted over all documents.
+    ``changed`` has ``token`` and ``folded``. Of the vocabulary of all documents the words with a wanted
+    skeleton are counted: plain ones where they are read, if the skeletons are few enough to be sent there.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a letter outside ASCII is part of every word that is looked up, and a word's folded form is plain or keeps such letters
-    words = docs.select(F.explode_outer(F.split("text", r"[\s\p{Z}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    words = words.withColumn("folded", F.when(_non_ascii("token"), folded("token")).otherwise(F.col("token")))
-    part = lambda df: df.withColumn("part", F.pmod(F.xxhash64("folded"), F.lit(parts)).cast("int"))
-    wanted = changed.select("token", "folded").distinct()
-    return part(words).groupBy("part").cogroup(part(wanted).groupBy("part")).applyInPandas(_spell, "token string, spelling string")
+    wanted = stage(changed.select("token", F.xxhash64("folded").alias("skeleton")).distinct(), "wanted")
+    skeletons = stage(wanted.select("skeleton").distinct(), "skeletons")
+    if few := small_enough(skeletons, BROADCAST_SKELETONS):
+        skeletons = F.broadcast(skeletons)
+    words = docs.select(F.explode_outer(F.split("text", r"[\s\x1c-\x1f\x85\p{Z}]+")).alias("token")).where("token <> ''")
+    count = lambda df, *more: df.groupBy("token", *more).agg(F.count(F.lit(1)).alias("n"))
+    plain = words.where(~_non_ascii("token"))
+    if few:
+        plain = count(plain.withColumn("skeleton", F.xxhash64("token")).join(skeletons, "skeleton", "left_semi"), "skeleton")
+    else:
+        plain = count(plain).withColumn("skeleton", F.xxhash64("token")).join(skeletons, "skeleton", "left_semi")
+    other = count(words.where(_non_ascii("token"))).withColumn("skeleton", F.xxhash64(folded("token"))).join(skeletons, "skeleton", "left_semi")
+    vocabulary = stage(plain.select("token", "n", "skeleton").unionByName(other.select("token", "n", "skeleton")), "vocabulary")
+    parts = vocabulary.count() // trie_words + 1
+    part = lambda df: df.withColumn("part", F.pmod("skeleton", F.lit(parts)).cast("int"))
+    return part(vocabulary).groupBy("part").cogroup(part(wanted).groupBy("part")).applyInPandas(_spell, "token string, spelling string")
 
 
 def canonical_texts(docs: DataFrame, key: str, text: str) -> DataFrame:

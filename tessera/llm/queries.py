@@ -113,18 +113,26 @@ QUERIES = {
 # ---- SQL ----------------------------------------------------------------------------------------
 
 
-def _translated(column: str) -> str:
-    """The lookalike table of ``lookalike.fold`` in SQL: ignorables away, then width forms and letters, then composed."""
-    single = {chr(a): b for a, b in lookalike.WIDTH_FORMS.items() if len(b) == 1} | {chr(a): b for a, b in lookalike.LOOKALIKES.items()}
+def _translated(column: str, letters: bool = True) -> str:
+    """The table of ``lookalike.table_form``, with ``letters`` that of ``lookalike.fold``, in SQL: ignorables away, then width forms and letters, then composed."""
+    single = {chr(a): b for a, b in lookalike.WIDTH_FORMS.items() if len(b) == 1}
+    if letters:
+        single |= {chr(a): b for a, b in lookalike.LOOKALIKES.items()}
+        # composed letters of other scripts whose base looks like a Latin letter
+        single |= {chr(a): b for a in range(0x370, 0x530) if len(b := lookalike.fold(chr(a))) == 1 and b != chr(a)}
     folded = f"regexp_replace({column}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180B}}-\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
-    for character, letters in lookalike.WIDTH_FORMS.items():
-        if 0xFB00 <= character < 0xFB07:
-            folded = f"replace({folded}, '{chr(character)}', '{letters}')"
+    for character, several in lookalike.WIDTH_FORMS.items():
+        if len(several) > 1 and several.isascii():
+            folded = f"replace({folded}, '{chr(character)}', '{several}')"
     # composed first, so that a base letter with a mark is one letter; letters that were not part of one are replaced then
     quoted = lambda x: x.replace("'", "''")
     return f"nfc_normalize(translate(nfc_normalize({folded}), '{quoted(''.join(single))}', '{quoted(''.join(single.values()))}'))"
 
 
+def _layout(column: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), '[\t\r\x0b\x0c\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n+$', '')"
+
+
 WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
@@ -147,6 +155,12 @@ ORACLES: dict[str, str] = {
     "p6_found": f"""WITH d AS (SELECT doc_id, {WORDS.format(_translated('text'))} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {WORDS.format(_translated('passage'))} AS w FROM eval_items WHERE passage IS NOT NULL),
       dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d), ig AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i)
       SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
-    "p8_found": rf"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(replace({_translated('text')}, chr(13) || chr(10), chr(10)), '[\t\r\x0b\x0c\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n+$', '') AS x FROM documents WHERE text IS NOT NULL)
+    "p8_found": f"""WITH c AS (SELECT doc_id, text, {_layout(_translated('text'))} AS x FROM documents WHERE text IS NOT NULL)
       SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.x = b.x AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p8_canonical": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_layout('text')}, '[^ \n]+|[ \n]+') AS parts FROM documents WHERE text IS NOT NULL),
+      t AS (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM d), w AS (SELECT p, count(*) AS n FROM t GROUP BY 1),
+      s AS (SELECT {_translated('p')} AS f, {_translated('p', letters=False)} AS s, sum(n) AS n FROM w GROUP BY 1, 2),
+      b AS (SELECT f, first(s ORDER BY regexp_matches(s, '\p{{Latin}}')::INT + regexp_matches(s, '\p{{Greek}}')::INT + regexp_matches(s, '\p{{Cyrillic}}')::INT > 1, s <> f, n DESC, s) AS s FROM s GROUP BY 1),
+      m AS (SELECT p, b.s FROM w JOIN b ON b.f = {_translated('p')}),
+      j AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS x FROM t JOIN m USING (p) GROUP BY 1) SELECT doc_id, coalesce({_layout("x")}, '') AS canonical_text FROM d LEFT JOIN j USING (doc_id)""",
 }

@@ -1,6 +1,7 @@
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import lookalike as lk
 
@@ -76,3 +77,25 @@ def test_trie_with_budget():
 
 def test_well_formed():
     assert lk.well_formed("каталог") and lk.well_formed("naïve") and not lk.well_formed("кaталог") and not lk.well_formed("naı̈ve​") and not lk.well_formed("ｘ")
+
+
+def test_without_tries_letters_keep_their_script(spark, monkeypatch):
+    """The table alone resolves characters, but it is the traversal that finds the spelling of a look-alike letter."""
+    items = [(1, "a plain gateway"), (2, "a plain gаtеway"), (3, "a plain ｇateway"), (4, "a ріаіn gateway"), (5, "a рlаin gateway"), (6, "a рlain gаteway")]
+    every = {(i, j) for i in (1, 2, 3, 5, 6) for j in (2, 3, 5, 6) if i < j}
+    assert pairs(spark, items) == every
+    table = F.udf(lk.table_form)
+    monkeypatch.setattr(lk, "spelling_map", lambda docs, changed: changed.select("token").distinct().withColumn("spelling", table("token")))
+    assert pairs(spark, items) == {(1, 3)}
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_spellings_that_no_plain_word_stands_for(spark, monkeypatch, few):
+    """Mixed words meet in their most frequent spelling, whether skeletons are sent to the readers or joined; tries may be many."""
+    monkeypatch.setattr(lk, "BROADCAST_SKELETONS", few)
+    items = [(i, "кaтalог") for i in range(3)] + [(3, "kатaлoг"), (4, "katалог"), (5, "каталог aсe ace")]
+    docs = spark.createDataFrame(items, "key long, text string")
+    changed = docs.select(F.explode(F.split("text", " ")).alias("token")).withColumn("folded", lk.folded("token")).where("token <> 'ace'")
+    spelled = {r["token"]: r["spelling"] for r in lk.spelling_map(docs, changed, trie_words=1).collect()}
+    assert spelled["aсe"] == "ace" and spelled["каталог"] == "каталог"
+    assert {t for t in spelled if lk.fold(t) == lk.fold("каталог")} == {t for t, s in spelled.items() if s == "каталог"}
