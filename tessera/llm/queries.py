@@ -83,6 +83,14 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.reached_shares(mixture.mix(records, targets), records, targets)
 
 
+def p7_byte_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached by a mixture measured in tokens of a byte-level vocabulary."""
+    targets = table(spark, folder, "mix_targets")
+    records = mixture.sized_records(table(spark, folder, "documents"), targets, "doc_id", "source", "text", mixture.count_bytes)
+    shares = mixture.reached_shares(mixture.mix(records, targets), records, targets)
+    return shares.select("source", "target_share", F.round("actual_share", 9).alias("actual_share"), "n_tokens", "n_records")
+
+
 def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("canonical").alias("canonical_text"))
 
@@ -107,6 +115,7 @@ QUERIES = {
     "p6_leaked_items": p6_leaked_items,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_byte_shares": p7_byte_shares,
     "p8_found": p8_found,
     "p8_canonical": p8_canonical,
 }
@@ -155,6 +164,14 @@ ORACLES: dict[str, str] = {
     "p6_found": f"""WITH d AS (SELECT doc_id, {WORDS.format(_translated('text'))} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {WORDS.format(_translated('passage'))} AS w FROM eval_items WHERE passage IS NOT NULL),
       dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d), ig AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i)
       SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    # sources in the order in which they run out of repeats: the first that does not decides the rate of the rest
+    "p7_byte_shares": r"""WITH d AS (SELECT regexp_replace(regexp_replace(lower(source), '^\s+|\s+$', '', 'g'), '[\s\-]+', '_', 'g') AS source, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
+      t AS (SELECT m.source, target_share AS w, max_repeats AS r, coalesce(sum(n), 0)::BIGINT AS n, count(n) AS n_records FROM mix_targets m LEFT JOIN d ON d.source = m.source GROUP BY ALL),
+      o AS (SELECT *, n * r AS room, sum(n) OVER () AS whole, row_number() OVER (ORDER BY n * r / w, source) AS k FROM t WHERE w > 0 AND n * r > 0),
+      p AS (SELECT *, (whole - coalesce(sum(room) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM o),
+      f AS (SELECT min(k) AS k, first(rate ORDER BY k) AS rate FROM p WHERE room > w * rate),
+      b AS (SELECT source, CASE WHEN f.k IS NULL OR p.k < f.k THEN room ELSE round(w * f.rate)::BIGINT END AS n_tokens FROM p, f)
+      SELECT t.source, w AS target_share, round(coalesce(n_tokens, 0) / sum(coalesce(n_tokens, 0)) OVER (), 9) AS actual_share, coalesce(n_tokens, 0)::BIGINT AS n_tokens, n_records FROM t LEFT JOIN b USING (source)""",
     "p8_found": f"""WITH c AS (SELECT doc_id, text, {_layout(_translated('text'))} AS x FROM documents WHERE text IS NOT NULL)
       SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.x = b.x AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p8_canonical": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_layout('text')}, '[^ \n]+|[ \n]+') AS parts FROM documents WHERE text IS NOT NULL),
