@@ -1,13 +1,16 @@
 """Noise in text from scanned pages: broken words, misread characters, running headers, page numbers.
 
 Lines are judged with SQL windows over each record: page numbers by their form, running headers by
-their form with digits masked, supported by a page number beside them, by a sentence that they
-interrupt, or by how often the masked line stands alone in the collection. What is left is joined
-into flowing text, across line and page ends.
+their masked form, in which all digits are one and case and blanks do not count. A masked line that
+reads as a title is a header if a page number stands beside it, if it interrupts a sentence, or if it
+is repeated in the collection. Any other masked line, of whatever case and number of words, is one if
+it is repeated in several records at places where it interrupts the text: alone between blank lines
+after an unfinished one, or much shorter than the lines of prose around it; and if most of its
+occurrences are of this kind. What is left is joined into flowing text, across line and page ends.
 
 Words are grouped by a skeleton in which glyphs that are easily confused are one. In a skeleton's
 group a rare form is a misreading of the frequent form if the frequent form also occurs in the same
-context (after the same word or before the same word) somewhere in the collection.
+context (after the same word or before the same word, misread or not) somewhere in the collection.
 
 All counts cover all records. Lines are shuffled once, by record; word statistics are combined where
 the text is read. Words found in millions of records are rows of counts, never lists.
@@ -36,15 +39,16 @@ PAGE_LINE = rf"^{PAGE}\s*$"
 CHAPTER = r"(?:(?:Ch|Chap|Kap|Cap|Sec|Sect)\.\s?\d+|(?i:chapter|kapitel|chapitre|capítulo|section|part|teil)\s(?:\d+|[IVXLC]+))"
 WORD_UP = r"(?:\p{Lu}[\p{L}\p{M}'’&]*|\p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+)"
 SMALL = r"(?:of|the|and|for|in|to|a|an|on|und|der|die|das|von|für|de|la|le|les|des|du|et|del|los|y)"
-TITLE = rf"{WORD_UP}(?:\s+(?:{WORD_UP}|{SMALL})){{0,8}}\s+{WORD_UP}"
-SEPARATOR = r"\s*(?:\s{2,}|[•·|–—:])\s*"
-HEADER = rf"^(?:({PAGE})\s{{2,}})?(?:({CHAPTER}){SEPARATOR})?({TITLE})(?:{SEPARATOR}({CHAPTER}))?(?:\s{{2,}}({PAGE}))?\s*$"
+SEPARATOR = r"(?:\s?[•·|–—:]\s{0,2}|\s{2}[•·|–—:]\s{0,2}|\s{2})"
+#: Of a line whose runs of blanks are at most two; the words of group 3 are judged one by one.
+HEADER = rf"^(?:({PAGE})\s{{2}})?(?:({CHAPTER}){SEPARATOR})?(\p{{Lu}}[\p{{L}}\p{{M}}'’&\s-]*?)(?:{SEPARATOR}({CHAPTER}))?(?:\s{{2}}({PAGE}))?$"
+TITLE_WORD = rf"^(?:{WORD_UP}|{SMALL})$"
 FENCE = r"^\s*(?:```|~~~)"
 MARKUP = r"^\s*(?:[#>|*+]|[-–•]\s|\d+[.)]\s)"
 BROKEN = rf"\p{{L}}[{MARKS}]\s*$"
 TOKEN = r"[\p{L}\p{N}!@|$]*\p{L}[\p{L}\p{N}!@|$]*"
 
-#: A plain title is a running header if it stands alone this often; a form is frequent if it is this often, and this many times as often as the other.
+#: A line is repeated if it is there this often; a form is frequent if it is this often, and this many times as often as the other.
 HEADER_LINES, FREQUENT, RATIO = 3, 5, 8
 BROADCAST_ROWS = 100_000
 
@@ -55,46 +59,68 @@ def records_of(df: DataFrame, table_name: str, key: str, text: str) -> DataFrame
 
 
 def judged_lines(records: DataFrame) -> DataFrame:
-    """One row per line of the records with several lines: (rec, n, line, kind, page, ...).
+    """One row per line of the records with several lines: (rec, n, line, kind, mask, ...).
 
-    ``kind`` is text, blank, fence (also what is inside), page, or title; titles carry their masked
-    ``title_key`` and ``sure``, whether the line alone tells that it is a running header.
+    ``kind`` is text, blank, fence (also what is inside), page, or title. ``mask`` is the masked form of titles and of
+    ``plain`` lines, which neither end a sentence nor are marked up; ``sure`` says whether a title is a running header
+    whatever its mask, ``apart`` whether a plain line interrupts the text.
     """
     lines = records.where(F.instr("text", "\n") > 0).select("rec", F.posexplode_outer(F.split("text", r"\r?\n")).alias("n", "line"))
     order = Window.partitionBy("rec").orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fences = F.sum(F.col("line").rlike(FENCE).cast("int")).over(so_far)
     lines = lines.withColumn("fenced", F.col("line").rlike(FENCE) | (fences % 2 == 1))
-    short = F.length("line") <= 120
-    lines = lines.withColumn("page_like", ~F.col("fenced") & short & F.col("line").rlike(PAGE_LINE))
-    lines = lines.withColumn("header", F.when(~F.col("fenced") & short & ~F.col("page_like") & F.col("line").rlike(HEADER), F.regexp_extract(F.col("line"), HEADER, 3)))
+    lines = lines.withColumn("page_like", ~F.col("fenced") & F.col("line").rlike(PAGE_LINE))
+    free = ~F.col("fenced") & ~F.col("page_like")
+    lines = lines.withColumn("squeezed", F.when(free, F.regexp_replace(F.rtrim("line"), r"\s{2,}", "  ")))
+    words = F.split(F.regexp_extract("squeezed", HEADER, 3), r"\s+")
+    titled = (F.size(words) > 1) & F.get(words, F.size(words) - 1).rlike(rf"^{WORD_UP}$") & F.forall(words, lambda w: w.rlike(TITLE_WORD))
+    lines = lines.withColumn("header", F.when(F.col("squeezed").rlike(HEADER) & titled, F.regexp_extract("squeezed", HEADER, 3)))
     near = lambda c, k: F.coalesce(F.lag(c, k).over(order) if k > 0 else F.lead(c, -k).over(order), F.lit(False))
     # numbers below one another are a list
     lines = lines.withColumn("page", F.col("page_like") & ~near("page_like", 1) & ~near("page_like", -1))
-    before, after = F.coalesce(F.lag("line").over(order), F.lit("")), F.coalesce(F.lead("line").over(order), F.lit(""))
-    interrupts = before.rlike(r"[\p{L}\p{N},]\s*$|" + BROKEN) & after.rlike(r"^[\p{Ll}\p{N}]") & ~before.rlike(MARKUP)
-    with_number = F.concat(*[F.regexp_extract(F.col("line"), HEADER, k) for k in (1, 2, 4, 5)]) != ""
-    sure = with_number | near("page", 1) | near("page", -1) | interrupts
+    at = lambda k: F.coalesce(F.lag("line", k).over(order) if k > 0 else F.lead("line", -k).over(order), F.lit(""))
+    unfinished = lambda line: line.rlike(rf"[\p{{L}}\p{{N}},]\s*$|{BROKEN}") & ~line.rlike(MARKUP)
+    goes_on, blank = at(-1).rlike(r"^[\p{Ll}\p{N}]"), lambda line: F.trim(line) == ""
+    number = lambda *groups: F.concat(*[F.regexp_extract("squeezed", HEADER, k) for k in groups]) != ""
+    sure = number(1, 2, 4, 5) | near("page", 1) | near("page", -1) | (unfinished(at(1)) & goes_on)
     lines = lines.withColumn("sure", F.col("header").isNotNull() & sure & (F.col("n") > 0))
-    numbered = F.concat(F.regexp_extract(F.col("line"), HEADER, 1), F.regexp_extract(F.col("line"), HEADER, 5)) != ""
     kind = (
-        F.when(F.col("fenced"), "fence").when(F.col("page"), "page").when(F.col("header").isNotNull(), "title").when(F.trim("line") == "", "blank").otherwise("text")
+        F.when(F.col("fenced"), "fence").when(F.col("page"), "page").when(F.col("header").isNotNull(), "title").when(blank(F.col("line")), "blank").otherwise("text")
     )
-    title_key = F.upper(F.regexp_replace(F.col("header"), r"\s+", " "))
-    return lines.select("rec", "n", "line", kind.alias("kind"), title_key.alias("title_key"), "sure", (F.col("page") | (F.col("header").isNotNull() & numbered)).alias("has_page"))
-
-
-def with_headers(lines: DataFrame) -> DataFrame:
-    """Settle the titles: ``kind`` becomes header or text."""
-    titles = lines.where("title_key is not null").groupBy("title_key").agg(F.count(F.lit(1)).alias("n_lines"), F.bool_or("sure").alias("known"))
-    known = stage(titles.where(f"known or n_lines >= {HEADER_LINES}").select("title_key"), "headers").withColumn("running", F.lit(True))
-    if small_enough(known, BROADCAST_ROWS):
-        joined = lines.join(F.broadcast(known), "title_key", "left")
-    else:  # lines without title are spread by record
-        spread = F.coalesce("title_key", F.concat(F.lit("\n"), F.col("rec").cast("string")))
-        joined = lines.withColumn("title_key", spread).join(known, "title_key", "left")
-    title = F.when(F.col("sure") | (F.coalesce("running", F.lit(False)) & (F.col("n") > 0)), "header").otherwise("text")
-    return joined.select("rec", "n", "line", F.when(F.col("kind") == "title", title).otherwise(F.col("kind")).alias("kind"), "has_page")
+    lines = lines.withColumn("kind", kind)
+    plain = (F.col("kind") == "text") & ~F.col("page_like") & F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(MARKUP) & ~F.col("line").rlike(r"[.!?;,:]\s*$")
+    long = F.greatest(2 * F.length("line"), F.lit(1))
+    prose = lambda line: (F.length(line) >= long) & line.rlike(r"(?:\S+\s+){7}\S")
+    alone = blank(at(1)) & blank(at(-1)) & unfinished(at(2)) & ~blank(at(-2))
+    beside = (near("page", 1) & prose(at(-1))) | (near("page", -1) & prose(at(1)))
+    between = unfinished(at(1)) & goes_on & prose(at(1)) & prose(at(-1))
+    lines = lines.withColumn("plain", plain).withColumn("apart", F.col("plain") & (alone | beside | between))
+    mask = F.upper(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("header", "line")), r"\s+", " "), r"\d+", "#"))
+    mask = F.when((F.col("kind") == "title") | F.col("plain"), mask)
+    return lines.select("rec", "n", "line", "kind", mask.alias("mask"), "sure", "apart", (F.col("page") | (F.col("header").isNotNull() & number(1, 5))).alias("has_page"))
+
+
+def with_headers(judged: DataFrame) -> DataFrame:
+    """Settle titles and plain lines: ``kind`` becomes header or text. ``judged`` is staged."""
+    titles = judged.where("kind = 'title'").groupBy("mask").agg(F.count(F.lit(1)).alias("n_lines"), F.bool_or("sure").alias("known"))
+    titles = titles.where(f"known or n_lines >= {HEADER_LINES}").select("mask", F.lit("title").alias("of"))
+    repeated = judged.where("apart").groupBy("mask").agg(F.count_distinct("rec").alias("n_records")).where(f"n_records >= {HEADER_LINES}")
+    repeated = stage(repeated.select("mask"), "repeated")
+    # most of all occurrences, not only of those that interrupt
+    every = judged.where("kind = 'text' and mask is not null").join(_sent(repeated), "mask").groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart"))
+    known = stage(titles.unionByName(every.where("2 * n_apart > n").select("mask", F.lit("text").alias("of"))), "headers").withColumn("running", F.lit(True))
+    # lines without a mask are spread by record where the masks are too many to be sent
+    spread = F.col("mask") if small_enough(known, BROADCAST_ROWS) else F.coalesce("mask", F.concat(F.lit("\n"), F.col("rec").cast("string")))
+    of = F.when(F.col("kind").isin("title", "text"), F.col("kind"))
+    joined = judged.withColumns({"mask": spread, "of": of}).join(_sent(known), ["mask", "of"], "left")
+    running = F.coalesce("running", F.lit(False)) & (F.col("n") > 0)
+    kind = F.when((F.col("kind") == "title") & (F.col("sure") | running), "header").when(F.col("kind") == "title", "text").when((F.col("kind") == "text") & running & F.col("apart"), "header").otherwise(F.col("kind"))
+    return joined.select("rec", "n", "line", kind.alias("kind"), "has_page")
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if small_enough(rows, BROADCAST_ROWS) else rows
 
 
 def joined_lines(lines: DataFrame) -> DataFrame:
@@ -148,20 +174,21 @@ def misreadings(texts: DataFrame) -> DataFrame:
     Of several frequent forms the one that the context supports most often is taken.
     """
     pairs = stage(words_in_context(texts).groupBy("word", "before").agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    counts = pairs.groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") >= 3)
+    counts = pairs.groupBy("word").agg(F.sum("n").alias("n"))
     forms = stage(counts.withColumn("skeleton", skeleton(F.col("word"))), "forms")
     frequent = forms.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{L}+$")).select("skeleton", F.col("word").alias("reading"), F.col("n").alias("often"))
     suspects = forms.join(frequent, "skeleton").where(f"word <> reading and often >= {RATIO} * n").select("word", "reading", "often")
     suspects = stage(suspects, "suspects")
-    words = suspects.select("word").distinct()
-    if small_enough(words, BROADCAST_ROWS):
-        words = F.broadcast(words)
-    found = words_in_context(texts).join(words, "word").distinct()
-    found = stage(found.join(suspects, "word"), "occurrences")
-    left = found.join(pairs.select(F.col("word").alias("reading"), "before", F.col("n").alias("support_before")), ["reading", "before"], "left")
-    both = left.join(pairs.select(F.col("word").alias("after"), F.col("before").alias("reading"), F.col("n").alias("support_after")), ["after", "reading"], "left")
-    support = F.coalesce("support_before", F.lit(0)) + F.coalesce("support_after", F.lit(0))
-    supported = both.withColumn("support", support).where("support > 0")
+    # how often each reading stands after, and before, a word of a skeleton
+    readings = _sent(stage(suspects.select("reading").distinct(), "readings"))
+    side = lambda at, of, beside: pairs.select(F.col(of).alias("reading"), skeleton(F.col(beside)).alias("context"), "n").join(readings, "reading", "left_semi").select(F.lit(at).alias("side"), "*")
+    contexts = side(0, "word", "before").unionByName(side(1, "before", "word")).groupBy("reading", "side", "context").agg(F.sum("n").alias("support"))
+    contexts = stage(contexts, "contexts")
+    found = words_in_context(texts).join(_sent(suspects.select("word").distinct()), "word").distinct()
+    found = found.join(_sent(suspects), "word").select("rec", "word", "reading", "often", skeleton(F.col("before")).alias("before"), skeleton(F.col("after")).alias("after"))
+    beside = F.posexplode(F.array("before", "after")).alias("side", "context")
+    supported = found.select("rec", "word", "reading", "often", "before", "after", beside).join(_sent(contexts), ["reading", "side", "context"])
+    supported = supported.groupBy("rec", "word", "reading", "often", "before", "after").agg(F.sum("support").alias("support"))
     return supported.groupBy("rec", "word").agg(F.max(F.struct("support", "often", "reading")).alias("best")).select("rec", "word", "best.reading")
 
 
@@ -171,7 +198,7 @@ class Repair:
     def __init__(self, records: DataFrame) -> None:
         records = records.select("table_name", "record_key", "text", F.xxhash64("table_name", "record_key", "text").alias("rec"))
         self.records = records
-        self.lines = stage(with_headers(judged_lines(records)), "lines")
+        self.lines = stage(with_headers(stage(judged_lines(records), "judged")), "lines")
         pieces = joined_lines(self.lines)
         words_only = pieces.withColumn("piece", F.when(F.col("kind") == "text", F.col("piece")).otherwise(F.lit("")))
         self.flat = stage(flowing(words_only), "flat")
@@ -210,4 +237,4 @@ def _replace_words(text: Column, fixes: Column) -> Column:
 
 def _same_case(reading: Column, word: Column) -> Column:
     first = F.substring(word, 1, 1)
-    return F.when(first != F.lower(first), F.concat(F.upper(F.substring(reading, 1, 1)), F.substring(reading, 2, 1_000))).otherwise(reading)
+    return F.when(first != F.lower(first), F.concat(F.upper(F.substring(reading, 1, 1)), F.substring(reading, F.lit(2), F.length(reading)))).otherwise(reading)

@@ -54,6 +54,33 @@ def test_headers_by_frequency(spark):
     assert defects(spark, items) == {f"h{i}": {"running_header"} for i in range(3)}
 
 
+def test_headers_are_masked_lines(spark):
+    """Of any case and any number of words, with digits masked; lists, headings and ends of sentences are none."""
+    page = "some words of a text\n\n{}\n\nMore words of a text stand here."
+    titles = ["Annual Report 202{}", "Volume {} Routing Systems", "Introduction", "the router handbook"]
+    items = [(f"{t}-{i}", page.format(title.format(i))) for t, title in enumerate(titles) for i in range(3)]
+    others = ["- Annual Report 202{}", "## Introduction", "1. the router handbook", "a sentence that ends.", "status: draft {},"]
+    items += [(f"o{t}-{i}", page.format(title.format(i))) for t, title in enumerate(others) for i in range(5)]
+    items += [(f"after{i}", "A sentence that ends.\n\nMerged note {i}\n\nMore words of a text stand here.") for i in range(5)]
+    assert defects(spark, items) == {f"{t}-{i}": {"running_header"} for t in range(4) for i in range(3)}
+
+
+def test_long_header(spark):
+    """No line is too long for a title, and a masked line between lines of prose need not stand alone."""
+    prose = "the words of a long line of prose that goes on and on until it comes to its end and so"
+    long = " ".join(["Rather Long"] * 300)
+    assert defects(spark, [("long", f"{prose}\n{long}\n{prose} on.")]) == {"long": {"running_header"}}
+    items = [(f"b{i}", f"{prose} {i} the\nannual report {i}\n{prose} on {i}.") for i in range(3)]
+    assert defects(spark, items) == {f"b{i}": {"running_header"} for i in range(3)}
+
+
+def test_short_and_neighbouring_misreadings(spark):
+    base = [(f"a{i}", "we go to the river with our friends") for i in range(30)]
+    assert defects(spark, [*base, ("two", "we 9o to the river with our friends"), ("both", "we go to tbe rivcr with our friends")]) == {"two": {"misread"}, "both": {"misread"}}
+    done = {r["record_key"]: r["repaired"] for r in repair(spark, [*base, ("all", "we 9o to tbe rivcr witb our friends")]).repaired().collect()}
+    assert done["all"] == "we go to the river with our friends"
+
+
 def test_context_decides(spark):
     """A rare word that looks like a frequent one is left alone where the frequent one is never seen."""
     items = [(f"a{i}", "we eat bread with cheese today") for i in range(30)] + [("x", "they saw brcad statues"), ("y", "we eat brcad with cheese today")]
