@@ -18,6 +18,12 @@ def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("file_path", F.explode("kinds").alias("kind"))
 
 
+def p1_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What shows each kind of a file: its layout, an opening comment, or its path."""
+    found = source_filter.foreign_sources(table(spark, folder, "file_state"), table(spark, folder, "source_heads"))
+    return found.select("file_path", F.explode("evidence").alias("e")).select("file_path", "e.kind", F.col("e.by").alias("shown_by"))
+
+
 def p1_handwritten(spark: SparkSession, folder: str) -> DataFrame:
     return source_filter.handwritten_sources(table(spark, folder, "file_state"), table(spark, folder, "source_heads"))
 
@@ -103,6 +109,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_kinds": p1_kinds,
+    "p1_evidence": p1_evidence,
     "p1_handwritten": p1_handwritten,
     "p2_found": p2_found,
     "p2_text_classes": p2_text_classes,
@@ -153,7 +160,41 @@ def _similar(rows: str, grams: str, threshold: float) -> str:
       SELECT DISTINCT ka, kb FROM p WHERE c / (total - c) >= {threshold})"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _limits(statistic: str) -> str:
+    k = source_filter.STATISTICS.index(statistic)
+    return "CASE ext " + " ".join(f"WHEN '{name}' THEN {limits[k]}" for name, limits in source_filter.LIMITS.items()) + f" ELSE {source_filter.OTHER_LIMITS[k]} END"
+
+
+def _source_evidence() -> str:
+    """Common tables e(file_path, kind, shown_by) and c(file_path), the code files."""
+    sf = source_filter
+    run = sf.STATISTICS.index("run")
+    runs = {n: [e for e, limits in sf.LIMITS.items() if limits[run] == n] for n in {limits[run] for limits in sf.LIMITS.values()} - {sf.OTHER_LIMITS[run]}}
+    encoded = "CASE " + " ".join(f"WHEN ext IN {tuple(names)} THEN regexp_matches(head, {_quoted(sf.ENCODED.replace('@', str(n)))})" for n, names in runs.items()) + f" ELSE regexp_matches(head, {_quoted(sf.ENCODED.replace('@', str(sf.OTHER_LIMITS[run])))}) END"
+    by_path = {"generated": sf.GENERATED_PATH, "minified": sf.MINIFIED_PATH, "vendored": sf.VENDOR_PATH, "data": sf.DATA_PATH}
+    paths = " UNION ALL ".join(f"SELECT file_path, '{kind}', 'path' FROM c WHERE regexp_matches(file_path, {_quoted(pattern)})" for kind, pattern in by_path.items())
+    return rf"""c AS (SELECT DISTINCT file_path FROM file_state WHERE file_path IS NOT NULL AND (lower(regexp_replace(file_type, '^\s+|\s+$', '', 'g')) = 'code'
+        OR file_type IS NULL AND '.' || lower(regexp_extract(file_path, '\.([^./\\]+)$', 1)) IN {tuple(sf.CODE_EXTENSIONS)})),
+      h AS (SELECT *, lower(regexp_extract(file_path, '\.([^./\\]+)$', 1)) AS ext, greatest(length(head), 1) AS chars, string_split(head, chr(10)) AS lines,
+        regexp_replace(array_to_string(regexp_extract_all(head, {_quoted(sf.COMMENT_LINE)}), chr(10)), {_quoted(sf.QUOTED)}, '''''', 'g') AS comments FROM source_heads WHERE file_path IN (SELECT file_path FROM c)),
+      s AS (SELECT *, CASE WHEN n_lines > 0 AND n_bytes >= 0 THEN n_bytes / n_lines END >= {_limits('mean_line')} AS long_mean, list_max(list_transform(lines, lambda l: length(l))) >= {_limits('max_line')} AS long_line,
+        (length(head) - length(regexp_replace(head, '[\s]+', '', 'g'))) / chars <= {_limits('whitespace')} AS dense, length(regexp_replace(head, '[^\p{{L}}\p{{N}}]+', '', 'g')) / chars >= {_limits('alnum')} AND length(head) >= {sf.ALNUM_CHARS} AS alnum,
+        (length(head) - length(regexp_replace(head, {_quoted(sf.NUMBER)}, '', 'g'))) / chars >= {_limits('numeric')} AS numbers, {encoded} AS encoded,
+        len(regexp_extract_all(head, {_quoted(sf.LITERAL_LINE)})) / greatest(len(lines) - 2, 1) >= {_limits('literal')} AND n_lines >= {sf.TABLE_LINES} AS literals FROM h),
+      v AS (SELECT *, coalesce(encoded, false) OR coalesce(numbers, false) OR coalesce(literals, false) OR coalesce(dense AND alnum, false) AS is_data, coalesce(long_mean, false) OR coalesce(long_line AND dense, false) AS is_long FROM s),
+      e(file_path, kind, shown_by) AS (SELECT DISTINCT * FROM ({paths} UNION ALL SELECT file_path, 'data', 'layout' FROM v WHERE is_data UNION ALL SELECT file_path, 'minified', 'layout' FROM v WHERE is_long AND NOT is_data
+        UNION ALL SELECT file_path, 'generated', 'comment' FROM v WHERE regexp_matches(comments, {_quoted(sf.GENERATED_HEAD)}) UNION ALL SELECT file_path, 'vendored', 'comment' FROM v WHERE regexp_matches(comments, {_quoted(sf.VENDOR_HEAD)})))"""
+
+
 ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_source_evidence()} SELECT DISTINCT file_path FROM e",
+    "p1_kinds": f"WITH {_source_evidence()} SELECT DISTINCT file_path, kind FROM e",
+    "p1_evidence": f"WITH {_source_evidence()} SELECT * FROM e",
+    "p1_handwritten": f"WITH {_source_evidence()} SELECT file_path FROM c WHERE file_path NOT IN (SELECT file_path FROM e)",
     "p2_found": f"""SELECT 'level_0' AS field_name, ka AS key_a, kb AS key_b FROM {_similar("SELECT DISTINCT object_id AS k, level_0 AS x FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL", "list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])", 0.7)}
       UNION ALL SELECT 'file_path', ka, kb FROM {_similar("SELECT DISTINCT file_path AS k, file_path AS x FROM doc_meta WHERE file_path IS NOT NULL", "w", 0.8)}""",
     # exact here, as all vectors of a small table are visited
