@@ -61,9 +61,9 @@ def records_of(df: DataFrame, table_name: str, key: str, text: str) -> DataFrame
 def judged_lines(records: DataFrame) -> DataFrame:
     """One row per line of the records with several lines: (rec, n, line, kind, mask, ...).
 
-    ``kind`` is text, blank, fence (also what is inside), page, or title. ``mask`` is the masked form of titles and of
-    ``plain`` lines, which neither end a sentence nor are marked up; ``sure`` says whether a title is a running header
-    whatever its mask, ``apart`` whether a plain line interrupts the text.
+    ``kind`` is text, blank, fence (also what is inside), page, or title. ``plain`` lines neither end a sentence nor
+    are marked up; ``apart`` are those of them that interrupt the text. These and the titles have their ``mask``; ``sure``
+    says whether a title is a running header whatever its mask.
     """
     lines = records.where(F.instr("text", "\n") > 0).select("rec", F.posexplode_outer(F.split("text", r"\r?\n")).alias("n", "line"))
     order = Window.partitionBy("rec").orderBy("n")
@@ -72,7 +72,8 @@ def judged_lines(records: DataFrame) -> DataFrame:
     lines = lines.withColumn("fenced", F.col("line").rlike(FENCE) | (fences % 2 == 1))
     lines = lines.withColumn("page_like", ~F.col("fenced") & F.col("line").rlike(PAGE_LINE))
     free = ~F.col("fenced") & ~F.col("page_like")
-    lines = lines.withColumn("squeezed", F.when(free, F.regexp_replace(F.rtrim("line"), r"\s{2,}", "  ")))
+    # a header begins with a capital letter or, after a page number or chapter, has two blanks or a mark before its title
+    lines = lines.withColumn("squeezed", F.when(free & F.col("line").rlike(r"^\p{Lu}|\s{2}\S|[•·|–—:]"), F.regexp_replace(F.rtrim("line"), r"\s{2,}", "  ")))
     words = F.split(F.regexp_extract("squeezed", HEADER, 3), r"\s+")
     titled = (F.size(words) > 1) & F.get(words, F.size(words) - 1).rlike(rf"^{WORD_UP}$") & F.forall(words, lambda w: w.rlike(TITLE_WORD))
     lines = lines.withColumn("header", F.when(F.col("squeezed").rlike(HEADER) & titled, F.regexp_extract("squeezed", HEADER, 3)))
@@ -83,22 +84,26 @@ def judged_lines(records: DataFrame) -> DataFrame:
     unfinished = lambda line: line.rlike(rf"[\p{{L}}\p{{N}},]\s*$|{BROKEN}") & ~line.rlike(MARKUP)
     goes_on, blank = at(-1).rlike(r"^[\p{Ll}\p{N}]"), lambda line: F.trim(line) == ""
     number = lambda *groups: F.concat(*[F.regexp_extract("squeezed", HEADER, k) for k in groups]) != ""
-    sure = number(1, 2, 4, 5) | near("page", 1) | near("page", -1) | (unfinished(at(1)) & goes_on)
-    lines = lines.withColumn("sure", F.col("header").isNotNull() & sure & (F.col("n") > 0))
+    sure = near("page", 1) | near("page", -1) | number(1, 2, 4, 5) | (goes_on & unfinished(at(1)))
+    lines = lines.withColumn("sure", F.col("header").isNotNull() & (F.col("n") > 0) & sure)
     kind = (
         F.when(F.col("fenced"), "fence").when(F.col("page"), "page").when(F.col("header").isNotNull(), "title").when(blank(F.col("line")), "blank").otherwise("text")
     )
     lines = lines.withColumn("kind", kind)
-    plain = (F.col("kind") == "text") & ~F.col("page_like") & F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(MARKUP) & ~F.col("line").rlike(r"[.!?;,:]\s*$")
+    plain = (F.col("kind") == "text") & ~F.col("page_like") & ~F.col("line").rlike(rf"[.!?;,:]\s*$|{MARKUP}") & F.col("line").rlike(r"\p{L}")
     long = F.greatest(2 * F.length("line"), F.lit(1))
     prose = lambda line: (F.length(line) >= long) & line.rlike(r"(?:\S+\s+){7}\S")
     alone = blank(at(1)) & blank(at(-1)) & unfinished(at(2)) & ~blank(at(-2))
     beside = (near("page", 1) & prose(at(-1))) | (near("page", -1) & prose(at(1)))
-    between = unfinished(at(1)) & goes_on & prose(at(1)) & prose(at(-1))
+    between = prose(at(1)) & prose(at(-1)) & goes_on & unfinished(at(1))
     lines = lines.withColumn("plain", plain).withColumn("apart", F.col("plain") & (alone | beside | between))
-    mask = F.upper(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("header", "line")), r"\s+", " "), r"\d+", "#"))
-    mask = F.when((F.col("kind") == "title") | F.col("plain"), mask)
-    return lines.select("rec", "n", "line", "kind", mask.alias("mask"), "sure", "apart", (F.col("page") | (F.col("header").isNotNull() & number(1, 5))).alias("has_page"))
+    mask = F.when((F.col("kind") == "title") | F.col("apart"), masked(F.coalesce("header", "line")))
+    return lines.select("rec", "n", "line", "kind", "plain", mask.alias("mask"), "sure", "apart", (F.col("page") | (F.col("header").isNotNull() & number(1, 5))).alias("has_page"))
+
+
+def masked(line: Column) -> Column:
+    """What repeats of a header have in common: digits are one, case and the width of blanks do not count."""
+    return F.upper(F.regexp_replace(F.regexp_replace(F.trim(line), r"\s+", " "), r"\d+", "#"))
 
 
 def with_headers(judged: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def with_headers(judged: DataFrame) -> DataFrame:
     repeated = judged.where("apart").groupBy("mask").agg(F.count_distinct("rec").alias("n_records")).where(f"n_records >= {HEADER_LINES}")
     repeated = stage(repeated.select("mask"), "repeated")
     # most of all occurrences, not only of those that interrupt
-    every = judged.where("kind = 'text' and mask is not null").join(_sent(repeated), "mask").groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart"))
+    every = judged.where("plain").select(masked(F.col("line")).alias("mask"), "apart").join(_sent(repeated), "mask").groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart"))
     known = stage(titles.unionByName(every.where("2 * n_apart > n").select("mask", F.lit("text").alias("of"))), "headers").withColumn("running", F.lit(True))
     # lines without a mask are spread by record where the masks are too many to be sent
     spread = F.col("mask") if small_enough(known, BROADCAST_ROWS) else F.coalesce("mask", F.concat(F.lit("\n"), F.col("rec").cast("string")))
