@@ -10,12 +10,14 @@ it could have is too small for the threshold:
 A collection is cut into a forest of such trees by *cells*: a record stands in the cell of each of
 its rarest tokens (as many as a similar record could lack, plus one), or, for small sets, of each
 combination of ``combo`` of them. Any two records over the threshold share a cell, so the forest
-finds what one tree over all records would. Rarity comes from counts in a table of fixed size, which
-decides only how large cells get, never what is found.
+finds what one tree over all records would. Rarity comes from hashed counts, one counter for some
+tokens, which decide only how large cells get, never what is found.
 
-Exact copies are collapsed before anything else. A cell that is larger than ``block`` is cut into
-blocks, and each pair of blocks is a task of its own. A bitmap travels once per record and
-partition. Candidates that survive the bound are compared exactly, as strings.
+Exact copies are collapsed before anything else. A cell of any kind that holds more than ``block``
+records is cut into blocks, and each pair of blocks is a tree pair of its own. Which cells these are
+is counted: hashed counts are never too small, so only cells over the limit there are counted one by
+one. A bitmap travels once per record and partition. Candidates that survive the bound are compared
+exactly, as strings.
 
 Defined results: null texts and texts with fewer words than a shingle have no pairs; repeated rows
 give one pair; a key with several texts takes part with each of them; ties need no rule, as every
@@ -37,8 +39,11 @@ from pyspark.sql import functions as F
 from tessera.llm.winnow import WordHashes, grams
 from tessera.staging import small_enough, stage
 
-#: Counters of the rarity table (four bytes each, on the driver and in each worker) and its slices.
-SKETCH, SLICES, SLOT_SHIFT = 1 << 21, 32, np.uint64(20)
+#: Tokens for each counter of the rarity table, its least and greatest size as powers of two (four bytes a counter, on the driver
+#: and in each worker: 64 MB at most; beyond, counters hold more tokens and cells of common tokens are cut), and its slices.
+COUNTER_TOKENS, LEAST_BITS, MOST_BITS, SLICES, SLOT_SHIFT = 16, 16, 24, 32, np.uint64(20)
+#: Characters of a word, about.
+WORD_CHARS = 6
 #: Bits of a record's signature, children of a node, pairs handled at once, records of a block.
 BITS, FANOUT, CHUNK, BLOCK = 512, 6, 200_000, 20_000
 #: Texts for each partition of the forest.
@@ -74,18 +79,20 @@ def needed(threshold: float, a, b):
 # ---- rarity -------------------------------------------------------------------------------------
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    """The counter of a token (or of a key made from it)."""
-    return ((tokens >> SLOT_SHIFT) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _slot(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The counter of a token (or of a key made from it) among ``size``, a power of two."""
+    return ((tokens >> SLOT_SHIFT) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _count_tokens(shingle: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, counts = WordHashes(), np.zeros(SKETCH, np.int64)
+def _counters(keys_of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> Callable:
+    """Compressed slices of the counts of what ``keys_of`` finds in each batch of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            counts += np.bincount(_slot(token_stream(list(batch["words"]), shingle, hashed)[0]), minlength=SKETCH)
+            counts += np.bincount(_slot(keys_of(batch), size), minlength=size)
         blobs = [(i, zlib.compress(part.astype(np.uint32).tobytes(), 1)) for i, part in enumerate(np.split(counts, SLICES)) if part.any()]
-        yield pd.DataFrame(blobs, columns=["slice", "counts"])
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([i for i, _ in blobs], pa.int32()), "counts": pa.array([b for _, b in blobs], pa.binary())})
 
     return run
 
@@ -95,16 +102,26 @@ def _add_counts(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [part["slice"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
 
-def token_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Counts of hashed tokens over all texts, in a table of fixed size."""
+def hashed_counts(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Counts of hashed keys over all rows, in ``size`` counters."""
     schema = "slice int, counts binary"
-    rows = texts.select("words").mapInPandas(_count_tokens(shingle), schema).groupBy("slice").applyInPandas(_add_counts, schema).collect()
-    counts = np.zeros((SLICES, SKETCH // SLICES), np.uint32)
-    for row in rows:
+    slices = rows.mapInArrow(_counters(keys_of, size), schema).groupBy("slice").applyInPandas(_add_counts, schema).collect()
+    counts = np.zeros((SLICES, size // SLICES), np.uint32)
+    for row in slices:
         counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return counts.reshape(-1)
 
 
+def counter_size(tokens: int) -> int:
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (max(1, tokens) // COUNTER_TOKENS).bit_length()))
+
+
+def token_counts(texts: DataFrame, shingle: int, size: int) -> np.ndarray:
+    """Counts of hashed tokens over all texts."""
+    hashed = WordHashes()
+    return hashed_counts(texts.select("words"), lambda batch: token_stream(batch.column("words").to_pylist(), shingle, hashed)[0], size)
+
+
 # ---- cells --------------------------------------------------------------------------------------
 
 
@@ -114,8 +131,9 @@ def _mix(values: np.ndarray) -> np.ndarray:
 
 
 def ordered_sets(tokens: np.ndarray, text: np.ndarray, n_texts: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, starts): each text's distinct tokens, the rarest first; a key is 16 bits of rarity and 48 of the token."""
-    keys = (np.minimum(counts[_slot(tokens)], 65535).astype(np.uint64) << np.uint64(48)) | (tokens >> np.uint64(16))
+    """(keys, starts): each text's distinct tokens, the rarest first; a key is 16 bits of rarity (the logarithm of the count) and 48 of the token."""
+    rarity = np.minimum(np.log2(1.0 + counts[_slot(tokens, len(counts))]) * 2048, 65535).astype(np.uint64)
+    keys = (rarity << np.uint64(48)) | (tokens >> np.uint64(16))
     starts = np.searchsorted(text, np.arange(n_texts + 1))
     for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         keys[lo:hi].sort()
@@ -178,21 +196,63 @@ def _blobs(values: np.ndarray, borders: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _emit(counts, shingle: int, threshold: float, combo: int, parts: int, block: int) -> Callable:
+def _cells(counts, shingle: int, threshold: float, combo: int) -> Callable:
+    """ids, (keys, starts) and (text, cell, rank) of the records of a batch."""
+    hashed = WordHashes()
+
+    def of(batch: pa.RecordBatch) -> tuple:
+        ids = batch.column("id").to_numpy()
+        tokens, text = token_stream(batch.column("words").to_pylist(), shingle, hashed)
+        keys, starts = ordered_sets(tokens, text, len(ids), counts.value)
+        text, cell, rank, _ = cells_of(keys, starts, threshold, combo)
+        return ids, keys, starts, text, cell, rank
+
+    return of
+
+
+def cut_plan(texts: DataFrame, cells: Callable, block: int, size: int) -> DataFrame | None:
+    """(id, cut, blocks): of each record the cells with more than ``block`` records, and into how many blocks they are cut. None if there are none."""
+    upper = hashed_counts(texts, lambda batch: cells(batch)[4], size)
+    if upper.max(initial=0) <= block:
+        return None
+    full = texts.sparkSession.sparkContext.broadcast(upper > block)
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, _, _, text, cell, _ = cells(batch)
+            kept = full.value[_slot(cell, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text[kept]]), pa.array(cell[kept].view(np.int64))], names=["id", "cell"])
+
+    rows = stage(texts.mapInArrow(suspects, "id long, cell long"), "suspects")
+    large = stage(rows.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
+    if large.isEmpty():
+        return None
+    if small_enough(large, BROADCAST_IDS):
+        large = F.broadcast(large)
+    return rows.join(large, "cell").groupBy("id").agg(F.collect_list("cell").alias("cut"), F.collect_list("blocks").alias("blocks"))
+
+
+def _blocks(cell: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Into how many blocks each of the cells is cut."""
+    names, at = np.unique(batch.column("cut").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
+    if not len(names):
+        return np.ones(len(cell), np.int64)
+    counts = batch.column("blocks").flatten().to_numpy(zero_copy_only=False).astype(np.int64)[at]
+    found = np.minimum(np.searchsorted(names, cell), len(names) - 1)
+    return np.where(names[found] == cell, counts[found], 1)
+
+
+def _emit(cells: Callable, parts: int) -> Callable:
     """Rows (part, id, n, sig, cells, ranks, sides): what of a record belongs to a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, table = WordHashes(), counts.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 4_000):
                 part = batch.slice(lo, 4_000)
-                ids = part.column("id").to_numpy()
-                tokens, text = token_stream(part.column("words").to_pylist(), shingle, hashed)
-                keys, starts = ordered_sets(tokens, text, len(ids), table)
-                text, cell, rank, key = cells_of(keys, starts, threshold, combo)
+                ids, keys, starts, text, cell, rank = cells(part)
                 side = np.full(len(cell), -1, np.int8)
-                if combo == 1:
-                    blocks = -(-table[_slot(key << np.uint64(16))].astype(np.int64) // block)
+                if "cut" in part.schema.names:
+                    blocks = _blocks(cell, part)
                     if (blocks > 1).any():
                         text, cell, rank, side = cut_cells(ids, text, cell, rank, blocks)
                 where = (_mix(cell) % np.uint64(parts)).astype(np.int64)
@@ -366,10 +426,12 @@ def distinct_texts(df: DataFrame, key: str, text: str, shingle: int, short: bool
     else:
         rows = rows.where(_has_shingle(shingle))
     same = F.when(F.col("words") == "", F.col("text")).otherwise(F.col("words")) if short else F.col("words")
-    rows = rows.select("key", "words", F.xxhash64(same).alias("h1"), F.xxhash64(same, F.lit(7)).alias("h2"))
-    texts = rows.groupBy("h1", "h2").agg(F.first("words").alias("words"))
-    texts = stage(texts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "words"), "texts")
-    members = rows.select("h1", "h2", "key").distinct().join(texts.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "key")
+    rows = rows.select("key", "words", same.alias("same"), F.xxhash64(same).alias("h1"), F.xxhash64(same, F.lit(7)).alias("h2"))
+    name = [F.sha2(F.first("same"), 256).alias("class")] if short else []
+    texts = rows.groupBy("h1", "h2").agg(F.first("words").alias("words"), *name)
+    names = ["class"] if short else []
+    texts = stage(texts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "words", *names), "texts")
+    members = rows.select("h1", "h2", "key").distinct().join(texts.select("id", "h1", "h2", *names), ["h1", "h2"]).select("id", "key", *names)
     return texts.select("id", "words"), members
 
 
@@ -380,11 +442,11 @@ def _verify(shingle: int, threshold: float) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, last, left = [], None, set()
+            rows, last, left, sets = [], None, set(), {}
             for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 if a != last:
                     last, left = a, shingles(text_a)
-                right = shingles(text_b)
+                right = sets[b] if b in sets else sets.setdefault(b, shingles(text_b))
                 shared = len(left & right)
                 similarity = shared / (len(left) + len(right) - shared)
                 if similarity >= threshold:
@@ -413,10 +475,17 @@ def similar_texts(texts: DataFrame, shingle: int, threshold: float, combo: int =
     if combo > 1 and threshold <= combo / (combo + 1):
         raise ValueError("combo is too large for this threshold")
     spark = texts.sparkSession
+    n_texts, n_chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
     # few enough that a record is not sent everywhere with its bitmap, enough that a partition stays within some 300 MB
-    parts = parts or max(spark.sparkContext.defaultParallelism, texts.count() // PART_TEXTS + 1)
-    counts = spark.sparkContext.broadcast(token_counts(texts, shingle))
-    rows = texts.mapInArrow(_emit(counts, shingle, threshold, combo, parts, block), "part int, id long, n int, sig binary, cells binary, ranks binary, sides binary")
+    parts = parts or max(spark.sparkContext.defaultParallelism, n_texts // PART_TEXTS + 1)
+    size = counter_size(n_chars // WORD_CHARS)
+    counted = token_counts(texts, shingle, size)
+    cells = _cells(spark.sparkContext.broadcast(counted), shingle, threshold, combo)
+    # a cell of one token has no more records than the token's counter says
+    cuts = cut_plan(texts, cells, block, size) if combo > 1 or counted.max(initial=0) > block else None
+    if cuts is not None:
+        texts_cut = texts.join(cuts, "id", "left")
+    rows = (texts if cuts is None else texts_cut).mapInArrow(_emit(cells, parts), "part int, id long, n int, sig binary, cells binary, ranks binary, sides binary")
     candidates = rows.repartitionById(parts, F.col("part")).mapInArrow(_search(threshold), "a long, b long").distinct()
     candidates = stage(candidates, "candidates")
     return verified(candidates, texts, shingle, threshold)
@@ -437,11 +506,11 @@ def similar_records(df: DataFrame, key: str, text: str, shingle: int, threshold:
 
 
 def similar_classes(df: DataFrame, key: str, text: str, shingle: int = 5, threshold: float = 0.8, combo: int = 1) -> DataFrame:
-    """(key, class, n_links): every key with a text, its class of equal texts and how many other classes are similar to that one.
+    """(key, class, n_links): every key with a text, its class of equal texts (the SHA-256 of their words) and how many other classes are similar to that one.
 
     Texts of fewer words than a shingle have only their exact copies.
     """
     texts, members = distinct_texts(df, key, text, shingle, short=True)
     near = similar_texts(texts.where(_has_shingle(shingle)), shingle, threshold, combo)
     links = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(links, "id", "left").select("key", F.col("id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(links, "id", "left").select("key", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))

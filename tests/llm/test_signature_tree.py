@@ -68,6 +68,25 @@ def test_cut_cells(spark):
     assert whole and whole == {tuple(r) for r in st.similar_texts(texts, 3, 0.7, block=2, parts=3).select("a", "b").collect()}
 
 
+def test_cut_cells_of_combinations(spark):
+    """Paths that share all their rare words are searched by several tasks and give the same pairs."""
+    rng = random.Random(3)
+    items = [(f"k{i:03}", " ".join([f"w{k}" for k in range(9)] + [f"x{rng.randrange(6)}" for _ in range(rng.randint(0, 3))])) for i in range(60)]
+    texts, _ = st.distinct_texts(spark.createDataFrame(items, "key string, text string"), "key", "text", 1)
+    texts = texts.persist()
+    whole = {tuple(r) for r in st.similar_texts(texts, 1, 0.8, combo=3).select("a", "b").collect()}
+    assert whole and whole == {tuple(r) for r in st.similar_texts(texts, 1, 0.8, combo=3, block=5, parts=4).select("a", "b").collect()}
+    size = 1 << 16
+    cells = st._cells(spark.sparkContext.broadcast(st.token_counts(texts, 1, size)), 1, 0.8, 3)
+    assert st.cut_plan(texts, cells, 10_000, size) is None
+    cuts = {r["id"]: dict(zip(r["cut"], r["blocks"], strict=True)) for r in st.cut_plan(texts, cells, 5, size).collect()}
+    assert len(cuts) == texts.count() and max(n for c in cuts.values() for n in c.values()) == -(-texts.count() // 5)
+
+
+def test_counters():
+    assert [st.counter_size(n) for n in (0, 10**6, 10**8, 10**15)] == [1 << 16, 1 << 16, 1 << 23, 1 << 24]
+
+
 @pytest.mark.parametrize("fanout", [2, 6])
 def test_traversal_prunes_nothing_that_counts(fanout):
     rng = np.random.default_rng(1)
