@@ -54,7 +54,7 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = multi_index.usable_vectors(table(spark, folder, "embedding_cache"), "content_hash", "vector", "created_at", 64)
-    return multi_index.nearest_vectors(vectors, 64, 5)
+    return multi_index.nearest_vectors(vectors, 64, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = winnow.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "passage")
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("n_words").cast("long").alias("n_words"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +71,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").cast("long").alias("longest_span"))
+    return p6_leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_span"))
 
 
 def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -190,6 +190,20 @@ def _source_evidence() -> str:
         UNION ALL SELECT file_path, 'generated', 'comment' FROM v WHERE regexp_matches(comments, {_quoted(sf.GENERATED_HEAD)}) UNION ALL SELECT file_path, 'vendored', 'comment' FROM v WHERE regexp_matches(comments, {_quoted(sf.VENDOR_HEAD)})))"""
 
 
+NEAREST = """v AS (SELECT content_hash AS h, created_at AS t, TRY_CAST(vector AS DOUBLE[]) AS v FROM embedding_cache WHERE content_hash IS NOT NULL),
+      u AS (SELECT h, v, row_number() OVER (PARTITION BY h ORDER BY t DESC) AS r FROM v WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+      k AS (SELECT a.h AS a, b.h AS b, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.h ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.h) AS n FROM u a, u b WHERE a.r = 1 AND b.r = 1 AND a.h <> b.h)"""
+
+
+def _leaks() -> str:
+    """Common table f(doc_id, item_id, n_words): runs of shared words from 13-grams that follow one another on a diagonal."""
+    grams = lambda of: f"SELECT {of}, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g, unnest(range(1, greatest(len(w) - 11, 1))) AS p"
+    return f"""d AS (SELECT doc_id, {WORDS.format(_translated('text'))} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {WORDS.format(_translated('passage'))} AS w FROM eval_items WHERE passage IS NOT NULL),
+      h AS (SELECT doc_id, item_id, a.p AS p, a.p - b.p AS diagonal FROM ({grams('doc_id')} FROM d) a JOIN ({grams('item_id')} FROM i) b USING (g)),
+      r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS run FROM h), n AS (SELECT doc_id, item_id, count(*) + 12 AS n FROM r GROUP BY doc_id, item_id, diagonal, run),
+      f AS (SELECT doc_id, item_id, max(n)::BIGINT AS n_words FROM n GROUP BY 1, 2)"""
+
+
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_source_evidence()} SELECT DISTINCT file_path FROM e",
     "p1_kinds": f"WITH {_source_evidence()} SELECT DISTINCT file_path, kind FROM e",
@@ -197,14 +211,16 @@ ORACLES: dict[str, str] = {
     "p1_handwritten": f"WITH {_source_evidence()} SELECT file_path FROM c WHERE file_path NOT IN (SELECT file_path FROM e)",
     "p2_found": f"""SELECT 'level_0' AS field_name, ka AS key_a, kb AS key_b FROM {_similar("SELECT DISTINCT object_id AS k, level_0 AS x FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL", "list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])", 0.7)}
       UNION ALL SELECT 'file_path', ka, kb FROM {_similar("SELECT DISTINCT file_path AS k, file_path AS x FROM doc_meta WHERE file_path IS NOT NULL", "w", 0.8)}""",
+    "p2_text_classes": f"""WITH t AS (SELECT DISTINCT object_id AS key, level_0 AS x, array_to_string({WORDS.format('level_0')}, ' ') AS words FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL),
+      m AS (SELECT DISTINCT key, sha256(CASE WHEN words = '' THEN x ELSE words END) AS class, words FROM t WHERE words <> '' OR regexp_matches(x, '[^\\s\\p{{Z}}]')),
+      p AS {_similar("SELECT DISTINCT class AS k, words AS x FROM m", "list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])", 0.8)},
+      l AS (SELECT class, count(*) AS n FROM (SELECT ka AS class FROM p UNION ALL SELECT kb FROM p) GROUP BY 1) SELECT key, class, coalesce(n, 0)::BIGINT AS n_links FROM (SELECT DISTINCT key, class FROM m) LEFT JOIN l USING (class)""",
     # exact here, as all vectors of a small table are visited
-    "p5_found": """WITH v AS (SELECT content_hash AS h, created_at AS t, TRY_CAST(vector AS DOUBLE[]) AS v FROM embedding_cache WHERE content_hash IS NOT NULL),
-      u AS (SELECT h, v, row_number() OVER (PARTITION BY h ORDER BY t DESC) AS r FROM v WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
-      k AS (SELECT a.h AS a, b.h AS b, row_number() OVER (PARTITION BY a.h ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.h) AS n FROM u a, u b WHERE a.r = 1 AND b.r = 1 AND a.h <> b.h)
-      SELECT DISTINCT least(a, b) AS hash_a, greatest(a, b) AS hash_b FROM k WHERE n <= 5""",
-    "p6_found": f"""WITH d AS (SELECT doc_id, {WORDS.format(_translated('text'))} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {WORDS.format(_translated('passage'))} AS w FROM eval_items WHERE passage IS NOT NULL),
-      dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d), ig AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i)
-      SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p5_found": f"WITH {NEAREST} SELECT DISTINCT least(a, b) AS hash_a, greatest(a, b) AS hash_b FROM k WHERE n <= 5",
+    "p5_neighbours": f"WITH {NEAREST} SELECT a AS key, b AS other, round(s, 6) AS similarity, n AS rank FROM k WHERE n <= 5",
+    "p6_found": f"WITH {_leaks()} SELECT doc_id, item_id FROM f",
+    "p6_leaks": f"WITH {_leaks()} SELECT * FROM f",
+    "p6_leaked_items": f"WITH {_leaks()} SELECT item_id, count(*) AS n_documents, max(n_words) AS longest_span FROM f GROUP BY 1",
     # sources in the order in which they run out of repeats: the first that does not decides the rate of the rest
     "p7_byte_shares": r"""WITH d AS (SELECT regexp_replace(regexp_replace(lower(source), '^\s+|\s+$', '', 'g'), '[\s\-]+', '_', 'g') AS source, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
       t AS (SELECT m.source, target_share AS w, max_repeats AS r, coalesce(sum(n), 0)::BIGINT AS n, count(n) AS n_records FROM mix_targets m LEFT JOIN d ON d.source = m.source GROUP BY ALL),

@@ -3,8 +3,9 @@
 Words of the text in its common form are hashed, every run of ``gram`` words is a k-gram, and of
 each ``window`` consecutive k-grams the rightmost smallest hash is kept. Two texts that share
 ``gram + window - 1`` consecutive words share at least one kept hash, so no sufficiently long span
-is missed. Fingerprints are joined on their hash; hits are extended word by word to the longest
-common span, which alone decides.
+is missed. Fingerprints are joined on their hash; hits are extended to the longest common span of
+words on their diagonal (the distance of the two positions), which alone decides. A document and an
+item have as many diagonals as words at most, however often a word is repeated in both.
 
 Corpus fingerprints (about two for every ``window + 1`` words) carry only a hash, a key and a
 position; they meet the test fingerprints in an equi-join in which the optimiser broadcasts the test
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.lookalike import fold
@@ -83,7 +84,7 @@ def fingerprint_batches(gram: int, window: int) -> Callable[[Iterator[pd.DataFra
         for batch in batches:
             keys, positions, prints = [], [], []
             for key, text in zip(batch["key"], batch["text"], strict=True):
-                at, kept = winnow(hashed(words_of(text)), gram, window)
+                at, kept = winnow(hashed(text.split() if text.isascii() else words_of(text)), gram, window)
                 if len(at):
                     keys.append(key)
                     positions.append(at.astype(np.int32))
@@ -93,28 +94,30 @@ def fingerprint_batches(gram: int, window: int) -> Callable[[Iterator[pd.DataFra
     return run
 
 
+def plain_words(text: Column) -> Column:
+    """Plain text as its words with blanks between them, other text as it is."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), text).otherwise(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
 def fingerprints(df: DataFrame, key: str, text: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(key, print, pos), one row per kept k-gram."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), plain_words(F.col(text)).alias("text"))
     kept = rows.mapInPandas(fingerprint_batches(gram, window), f"key {dict(rows.dtypes)['key']}, pos array<int>, print array<long>")
     return kept.select("key", F.explode(F.arrays_zip("print", "pos")).alias("x")).select("key", "x.print", "x.pos")
 
 
-def longest_span(left: list[str], right: list[str], hits: list[tuple[int, int]], gram: int) -> tuple[int, int, int]:
-    """(length, start left, start right) of the longest common run of words through any of the hits."""
-    best, done = (0, 0, 0), {}
-    for a, b in sorted(hits):
-        if done.get(a - b, -1) >= a:
-            continue
-        if left[a : a + gram] != right[b : b + gram]:
-            continue
-        start, stop = 0, gram
-        while a - start > 0 and b - start > 0 and left[a - start - 1] == right[b - start - 1]:
-            start += 1
-        while a + stop < len(left) and b + stop < len(right) and left[a + stop] == right[b + stop]:
-            stop += 1
-        done[a - b] = a + stop - gram
-        best = max(best, (start + stop, -(a - start), -(b - start)))
+def longest_span(left: np.ndarray, right: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
+    """(length, start left, start right) of the longest common run of words on any of the diagonals (position left minus position right)."""
+    best = (0, 0, 0)
+    for d in sorted(diagonals):
+        a, b = max(d, 0), max(-d, 0)
+        n = min(len(left) - a, len(right) - b)
+        same = np.concatenate([[False], left[a : a + n] == right[b : b + n], [False]])
+        borders = np.flatnonzero(same[1:] != same[:-1])
+        if len(borders):
+            starts, lengths = borders[::2], borders[1::2] - borders[::2]
+            k = int(lengths.argmax())
+            best = max(best, (int(lengths[k]), -(a + int(starts[k])), -(b + int(starts[k]))))
     return best[0], -best[1], -best[2]
 
 
@@ -123,7 +126,7 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, corpus_key: str, corpus
     span = gram + window - 1
     items = stage(fingerprints(tests, test_key, test_text, gram, window).select(F.col("key").alias("item"), "print", F.col("pos").alias("item_pos")), "test-prints")
     hits = fingerprints(corpus, corpus_key, corpus_text, gram, window).join(items, "print")
-    hits = hits.groupBy(F.col("key").alias("doc"), "item").agg(F.collect_set(F.struct("pos", "item_pos")).alias("hits"))
+    hits = hits.groupBy(F.col("key").alias("doc"), "item").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("diagonals"))
     hits = stage(hits, "hits")
     texts = corpus.select(F.col(corpus_key).alias("doc"), F.col(corpus_text).alias("text"))
     passages = tests.select(F.col(test_key).alias("item"), F.col(test_text).alias("passage")).where("passage is not null")
@@ -131,11 +134,11 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, corpus_key: str, corpus
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, last, words = [], None, []
-            for doc, item, text, passage, found in zip(batch["doc"], batch["item"], batch["text"], batch["passage"], batch["hits"], strict=True):
-                if last != doc:
-                    last, words = doc, words_of(text)
-                n, a, b = longest_span(words, words_of(passage), [(h["pos"], h["item_pos"]) for h in found], gram)
+            rows, last, words = [], None, np.empty(0, object)
+            for doc, item, text, passage, diagonals in zip(batch["doc"], batch["item"], batch["text"], batch["passage"], batch["diagonals"], strict=True):
+                if last != (doc, text):
+                    last, words = (doc, text), np.array(words_of(text), object)
+                n, a, b = longest_span(words, np.array(words_of(passage), object), list(diagonals))
                 if n >= span:
                     rows.append((doc, item, n, a, b))
             yield pd.DataFrame(rows, columns=["doc", "item", "n_words", "doc_word", "item_word"])

@@ -58,5 +58,10 @@ def test_looks_and_lengths(spark):
 
 
 def test_longest_span():
-    left, right = list("abcdefgh") + list("xyz"), list("__bcdefg_") + list("xyz")
-    assert wn.longest_span(left, right, [(3, 4), (8, 9), (1, 2)], 3) == (6, 1, 2)
+    left, right = np.array(list("abcdefgh") + list("xyz"), object), np.array(list("__bcdefg_") + list("xyz"), object)
+    assert wn.longest_span(left, right, [-1]) == (6, 1, 2) and wn.longest_span(left, right, [0, -1, 5]) == (6, 1, 2) and wn.longest_span(left, right, []) == (0, 0, 0)
+
+
+def test_one_word_repeated(spark):
+    """Every gram is kept, but a pair has no more diagonals than words."""
+    assert leaks(spark, [(1, "one " * 3000), (2, "one " * 12)], [(1, "one " * 40), (2, "one " * 13)]) == {(1, 1): 40, (1, 2): 13}
