@@ -45,12 +45,14 @@ def scan(args) -> str:
 def parse(args) -> str:
     spark = engine(args).spark
     path = str(Path(args.file).resolve())
-    kind = fs.TYPES.get(Path(path).suffix.lower(), "text")
+    kind = fs.TYPES.get(Path(path).suffix.lower())
+    if kind is None:
+        raise SystemExit(f"no parser for {Path(path).name}; known extensions: {' '.join(sorted(fs.TYPES))}")
     found = spark.read.format("binaryFile").load(path).select(F.lit(path).alias("path"), "content")
     if kind == "pdf":
         return "\n".join(pdf.read_layout(found).toJSON().collect())
     text = fs.texts(found)
-    parsed = parse_markdown(text) if kind == "markdown" else parse_code(text) if kind == "code" else text.withColumn("n_lines", F.size(F.split("text", "\n")))
+    parsed = parse_markdown(text) if kind == "markdown" else parse_code(text)
     return "\n".join(parsed.toJSON().collect())
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +100,12 @@ def compile_pdf(files: DataFrame) -> DataFrame:
     return reference.unionByName(_file_node(rows, stem, None))
 
 
-def compile_files(files: DataFrame) -> DataFrame:
-    """Objects of scanned ``files(path, content, file_type, seq)``; other types have none."""
+def compile_files(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Objects of scanned ``files(path, content, file_type, seq)``; other types have none. ``kinds``: the types that occur, if they are known."""
     of = lambda kind: files.where(F.col("file_type") == kind)
-    parts = [compile_markdown(texts(of("markdown"))), compile_code(texts(of("code"))), compile_text(texts(of("text"))), compile_pdf(of("pdf"))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    compilers = {"markdown": lambda: compile_markdown(texts(of("markdown"))), "code": lambda: compile_code(texts(of("code"))), "text": lambda: compile_text(texts(of("text"))), "pdf": lambda: compile_pdf(of("pdf"))}
+    parts = [make() for kind, make in compilers.items() if kinds is None or kind in kinds]
+    return reduce(DataFrame.unionByName, parts) if parts else files.sparkSession.createDataFrame([], OBJECT)
 
 
 def object_json(objects: DataFrame) -> DataFrame:

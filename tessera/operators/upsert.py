@@ -1,21 +1,13 @@
-"""Upserts and deletes on tables without a lakehouse format: the new snapshot of a table as a plan.
-
-``VersionedTable`` writes each snapshot to a new folder and then swaps a pointer file, so a reader
-never sees a table half written and a failed write changes nothing.
-"""
+"""Upserts and deletes on tables without a lakehouse format: the new snapshot of a table as a plan."""
 
 from __future__ import annotations
 
-import os
-import time
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tessera.operators.changes import last_by_sequence
+from tessera.operators.graph import node_label
+from tessera.staging import small_enough
 
 EDGE = ["source_id", "target_id", "predicate"]
 
@@ -57,42 +49,29 @@ def with_placeholders(nodes: DataFrame, edges: DataFrame, label: str = "Concept"
 def linkable(edges: DataFrame, nodes: DataFrame, predicates: DataFrame) -> DataFrame:
     """Edges with a known predicate (as ``rel_type``) whose two ends are nodes, each once."""
     ends = lambda c: nodes.select(F.col("id").alias(c)).distinct()
-    return edges.join(F.broadcast(predicates), "predicate").join(ends("source_id"), "source_id", "left_semi").join(ends("target_id"), "target_id", "left_semi").select("source_id", "target_id", "rel_type").distinct()
-
+    if small_enough(predicates, 10_000):
+        predicates = F.broadcast(predicates)
+    return edges.join(predicates, "predicate").join(ends("source_id"), "source_id", "left_semi").join(ends("target_id"), "target_id", "left_semi").select("source_id", "target_id", "rel_type").distinct()
 
-def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that are not unique, with their counts: the check of a unique constraint."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
+def graph_node_rows(objects: DataFrame) -> DataFrame:
+    """(id, label and the properties of a node) of each object of the compiler."""
+    return objects.select("id", node_label(F.col("type")).alias("label"), "name", "type", "domain", "source_file", "level_1", "level_2", "level_3", "ontology_class", "ontology_depth")
 
-class VersionedTable:
-    """A table in a folder: ``v-*`` snapshots and a pointer file ``CURRENT``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str) -> None:
-        self.spark, self.path = spark, path
-        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+def sync_objects(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, links: DataFrame, predicates: DataFrame, keep_inbound: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after the objects ``new_nodes`` with their ``links`` have replaced what was there of them.
 
-    @property
-    def version(self) -> str | None:
-        pointer = Path(self.path, "CURRENT")
-        return pointer.read_text().strip() if pointer.exists() else None
+    Their old outgoing edges go, with ``keep_inbound=False`` also those that others have to them. Targets that are no
+    nodes get placeholders, so every link with a known predicate is kept. ``edges`` has (source_id, target_id, rel_type).
+    """
+    ids = new_nodes.select("id").distinct()
+    left = delete_keys(edges, ids.withColumnRenamed("id", "source_id"), ["source_id"]) if keep_inbound else purge_nodes(edges, ids)
+    wanted = links.join(predicates, "predicate", "left_semi")
+    after = with_placeholders(upsert(nodes, new_nodes, ["id"]), wanted)
+    return after, left.unionByName(linkable(links, after, predicates)).distinct()
 
-    def read(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.version}")
 
-    def write(self, snapshot: DataFrame, keep: int = 2) -> None:
-        name = f"v-{time.time_ns()}-{uuid.uuid4().hex[:6]}"
-        columns = [F.col(f.name).cast(f.dataType) for f in self.schema.fields]
-        snapshot.select(*columns).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        swap = Path(self.path, f"CURRENT.{uuid.uuid4().hex}")
-        swap.write_text(name)
-        os.replace(swap, Path(self.path, "CURRENT"))
-        import shutil
-
-        for old in sorted(Path(self.path).glob("v-*"))[:-keep]:
-            shutil.rmtree(old, ignore_errors=True)
-
-    def wipe(self) -> None:
-        self.write(self.spark.createDataFrame([], self.schema))
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that are not unique, with their counts: the check of a unique constraint."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

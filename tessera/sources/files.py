@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import decoded, file_name, file_suffix
+from tessera.sources.store import Files
 
 # Types by extension, extensions that are never read, directories that are never entered.
 TYPES = {
@@ -62,18 +64,54 @@ def classify(path: Column, content: Column) -> Column:
     return F.coalesce(F.nullif(type_by_name(path), F.lit("binary")), F.when(type_by_name(path).isNull() & looks_like_text(content), F.lit("text")))
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_file_bytes: int | None = None) -> DataFrame:
+def kept_roots(spark: SparkSession, root: str, patterns: list[str] | None = None) -> list[str]:
+    """What is to be listed below ``root``: whole folders without an ignored one in them, and single files beside ignored ones.
+
+    Folders are walked here by name; an ignored one is neither entered nor listed by the reader afterwards.
+    """
+    files = Files(spark, root)
+    ignored = {d for d in IGNORED}
+    matchers = [re.compile(fnmatch.translate(p)) for p in patterns or []]
+
+    def dropped(relative: str) -> bool:
+        name = relative.rsplit("/", 1)[-1]
+        return name in ignored or any(m.match(relative) or m.match(name) for m in matchers)
+
+    def walk(relative: str) -> tuple[bool, list[str]]:
+        folders, plain = files.children(relative)
+        below = lambda names: [f"{relative}/{n}" if relative else n for n in names if not n.startswith((".", "_"))]
+        kept = [f for f in below(folders) if not dropped(f)]
+        walked = [walk(f) for f in kept]
+        if len(kept) == len(below(folders)) and all(whole for whole, _ in walked):
+            return True, [relative]
+        return False, [f for f in below(plain) if not dropped(f)] + [place for _, places in walked for place in places]
+
+    return walk("")[1]
+
+
+def _escaped(path: str) -> str:
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+FILE = "path string, relative string, content binary, sha256 string, last_modified long, file_type string"
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_file_bytes: int | None = None, only: list[str] | None = None) -> DataFrame:
     """(path, relative, content, sha256, last_modified, file_type) of the files below ``root`` that are to be read.
 
-    The source lists no empty files, so a file that was emptied counts as deleted. Ignored files are dropped by path before their content is looked at.
-    Contents are read where the hash is computed; columns that are not used are not kept.
+    Ignored folders are neither listed nor read. Contents are read where the hash is computed; columns that are not used
+    are not kept. ``only`` names the paths that are wanted, so that no other file is read. The source lists no empty
+    files, so a file that was emptied counts as deleted.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    places = [f"{base}/{p}" if p else base for p in kept_roots(spark, base, patterns)] if only is None else only
+    if not places:
+        return spark.createDataFrame([], FILE)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([_escaped(p) for p in places])
     if max_file_bytes is not None:
         files = files.where(F.col("length") <= max_file_bytes)
     path = F.regexp_replace("path", r"^file:/+", "/")
-    files = files.withColumn("path", path).withColumn("relative", F.substring("path", F.lit(len(base) + 2), F.lit(1_000_000)))
+    files = files.withColumn("path", path).withColumn("relative", F.substring("path", F.lit(len(base) + 2), F.length("path")))
     files = files.where(~is_ignored(F.col("relative"), patterns)).withColumn("file_type", classify(F.col("path"), F.col("content"))).where("file_type is not null")
     return files.select("path", "relative", "content", F.sha2("content", 256).alias("sha256"), F.unix_timestamp("modificationTime").alias("last_modified"), "file_type")
 

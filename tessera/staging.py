@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: list[str] = []
+_SCOPES: list[list[tuple]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, a laptop), a fresh local one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset on a single machine (tests, a laptop), a fresh local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         folder = _OWN[0]
@@ -28,16 +34,36 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with the same schema.
 
-    The folder is deleted when the application ends.
+    The folder is deleted when the application ends, or with the ``scope`` that it was staged in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(place)
+    for staged in _SCOPES[-1:]:
+        staged.append((files, place))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is staged inside is deleted at the end, for applications that go on for long; results must have been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for files, place in _SCOPES.pop():
+            files.delete(place, True)
+            files.cancelDeleteOnExit(place)
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than it must to tell."""
     return len(df.select().limit(limit + 1).take(limit + 1)) <= limit if limit < 1000 else df.count() <= limit

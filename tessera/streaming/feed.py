@@ -3,13 +3,12 @@ workspace stream only says *when* to look; what changed comes from the snapshot
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.upsert import VersionedTable, upsert
+from tessera.operators.upsert import upsert
+from tessera.sources.store import VersionedTable
 
 
 def watch_workspace(engine, workspace: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:
@@ -46,9 +45,3 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
-
-
-def changes_stream(spark: SparkSession, folder: str, schema, per_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Hand every batch of new parquet files in ``folder`` to ``per_batch``."""
-    rows = spark.readStream.schema(schema).parquet(folder)
-    return rows.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,11 +1,14 @@
 import json
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
+from tessera import config, staging
 from tessera.plans.engine import Engine
 from tessera.sources import files
 from tessera.streaming import feed
-from tessera.operators.upsert import VersionedTable
+from tessera.sources.store import VersionedTable
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +88,98 @@ def test_two_workspaces(engine, workspace, tmp_path):
     assert "other.md" not in engine.query("garden bees")
 
 
+NOTE = "# {0}\n\nA note about {0} and whatever else there is to say about {0} in a vault of notes.\n"
+
+
+def test_index_of_segments(spark, tmp_path):
+    """Updates add segments whose answers are those of an index built at once; a wiped engine is empty and searchable."""
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    words = ["ships", "trains", "bridges", "rivers", "towers"]
+    for w in words:
+        (vault / f"{w}.md").write_text(NOTE.format(w))
+    engine, fresh = Engine(spark, str(tmp_path / "home")), Engine(spark, str(tmp_path / "fresh"))
+    engine.rebuild(str(vault))
+    (vault / "ships.md").write_text(NOTE.format("boats"))
+    (vault / "trains.md").unlink()
+    engine.update(str(vault))
+    (vault / "lakes.md").write_text(NOTE.format("rivers lakes"))
+    engine.update(str(vault))
+    index = engine.store.manifest()["index"]
+    assert len(index["segments"]) == 3
+    fresh.rebuild(str(vault))
+    found = lambda e, q: [(r["object_id"], round(r["score"], 9)) for r in e.search(q).collect()]
+    for query in ("rivers", "boats note", "ships", "trains", "lakes vault"):
+        assert found(engine, query) == found(fresh, query)
+    assert {k: index[k] for k in ("n_docs", "n_terms")} == {k: fresh.store.manifest()["index"][k] for k in ("n_docs", "n_terms")}
+    nodes, edges = engine.graph_tables()
+    assert nodes.where("label = 'File'").count() == 5 and edges.count() == 5
+    assert engine.vector_points().select("point_id").distinct().count() == engine.count()
+    engine.wipe()
+    assert engine.search("rivers").count() == 0 and engine.count() == 0 and engine.query("rivers")
+    engine.update(str(vault))
+    assert found(engine, "rivers") == found(fresh, "rivers")
+
+
+def test_a_crash_changes_nothing(spark, tmp_path, monkeypatch):
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    (vault / "a.md").write_text(NOTE.format("ships"))
+    engine = Engine(spark, str(tmp_path / "home"))
+    engine.rebuild(str(vault))
+    (vault / "a.md").write_text(NOTE.format("trains"))
+    for name in ("write", "commit"):  # before the first table is there, and after the last
+        with monkeypatch.context() as patch:
+            patch.setattr(engine.store, name, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                engine.update(str(vault))
+        assert "a.md" in engine.query("ships") and "a.md" not in engine.query("trains")
+        assert engine.scan(str(vault)).where("status = 'CHANGED'").count() == 1
+    engine.update(str(vault))
+    assert "a.md" in engine.query("trains")
+
+
+def test_ignored_folders_are_not_listed(spark, tmp_path):
+    for name in ("a/b/n.md", "a/node_modules/x/m.md", "a/c.md", "d/e.md", "build/z.md", "d/[f]/g.md", ".git/h.md", "top.md", "t.tmp"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("# x")
+    assert files.kept_roots(spark, str(tmp_path), ["*.tmp"]) == ["top.md", "a/c.md", "a/b", "d"]
+    assert {r["relative"] for r in files.scan(spark, str(tmp_path), ["*.tmp"]).collect()} == {"a/b/n.md", "a/c.md", "d/e.md", "d/[f]/g.md", "top.md"}
+    assert [r["relative"] for r in files.scan(spark, str(tmp_path), only=[f"{tmp_path}/d/[f]/g.md"]).collect()] == ["d/[f]/g.md"]
+
+
+def test_settings(spark, tmp_path):
+    home, vault = tmp_path / "home", tmp_path / "vault"
+    home.mkdir()
+    vault.mkdir()
+    assert config.settings(str(home), str(vault)) == config.Settings()
+    (home / "config.yaml").write_text("ignore: ['*.tmp']\nlimit: 3\n")
+    (vault / ".tessera.yaml").write_text("ignore: [draft*]\nmax_file_bytes: 20\n")
+    assert config.settings(str(home), str(vault)) == config.Settings(("*.tmp", "draft*"), 20, 3)
+    for name, text in (("a.md", "# a"), ("draft.md", "# b"), ("big.md", "# c" * 20)):
+        (vault / name).write_text(text)
+    assert [r["relative"] for r in Engine(spark, str(home)).files(str(vault)).collect()] == ["a.md"]
+    (home / "config.yaml").write_text("colour: red\n")
+    with pytest.raises(ValueError):
+        config.settings(str(home))
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        staging.shared_folder(session)
+    session.conf = SimpleNamespace(get=lambda *a: "hdfs:///shared/")
+    assert staging.shared_folder(session) == "hdfs:///shared"
+
+
+def test_scope_deletes_what_was_staged(spark):
+    with staging.scope():
+        kept = staging.stage(spark.range(3).toDF("id"), "scoped")
+        place = kept.inputFiles()[0]
+        assert kept.count() == 3
+    assert not Path(place.removeprefix("file://")).exists()
+
+
 def test_watch(spark, tmp_path):
     vault = tmp_path / "vault"
     vault.mkdir()

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.sources.store import VersionedTable
 from tessera.operators import changes, graph, ontology, upsert, vectors
 
 STATE = "path string, sha256 string, last_modified long, file_type string, indexed_at long, status string"
@@ -40,8 +41,25 @@ def test_edges_are_replaced(spark, rows):
     assert rows(upsert.purge_nodes(old, spark.createDataFrame([("x",)], "id string"))) == []
 
 
+def test_graph_sync(spark, rows):
+    nodes = spark.createDataFrame([("a", "Concept", "/1"), ("b", "File", "/2"), ("c", "Concept", "/3")], "id string, label string, source_file string")
+    edges = spark.createDataFrame([("a", "b", "USES"), ("b", "a", "USES"), ("c", "a", "IS_A")], "source_id string, target_id string, rel_type string")
+    new = spark.createDataFrame([("a", "Concept", "/1")], nodes.schema)
+    links_ = spark.createDataFrame([("a", "x", "uses"), ("a", "c", "is_a"), ("a", "y", "likes")], "source_id string, target_id string, predicate string")
+    known = spark.createDataFrame([("uses", "USES"), ("is_a", "IS_A")], "predicate string, rel_type string")
+    after, linked = upsert.sync_objects(nodes, edges, new, links_, known)
+    assert rows(after) == [("a", "Concept", "/1"), ("b", "File", "/2"), ("c", "Concept", "/3"), ("x", "Concept", None)]
+    assert rows(linked) == [("a", "c", "IS_A"), ("a", "x", "USES"), ("b", "a", "USES"), ("c", "a", "IS_A")]
+    _, purged = upsert.sync_objects(nodes, edges, new, links_, known, keep_inbound=False)
+    assert rows(purged) == [("a", "c", "IS_A"), ("a", "x", "USES")]
+    left, still = upsert.delete_by_file(nodes, edges, spark.createDataFrame([("/1",)], "source_file string"))
+    assert {r["id"] for r in left.collect()} == {"b", "c"} and still.count() == 0
+    objects = spark.createDataFrame([("o", "implementation", "n", "d", "/o", "", "", "", "Implementation", 4)], "id string, type string, name string, domain string, source_file string, level_1 string, level_2 string, level_3 string, ontology_class string, ontology_depth int")
+    assert upsert.graph_node_rows(objects).first()["label"] == "File"
+
+
 def test_versioned_table(spark, tmp_path, rows):
-    t = upsert.VersionedTable(spark, str(tmp_path / "t"), "id string, v int")
+    t = VersionedTable(spark, str(tmp_path / "t"), "id string, v int")
     assert t.read().count() == 0 and t.version is None
     t.write(spark.createDataFrame([("a", 1)], "id string, v int"))
     first = t.read()
@@ -97,10 +115,27 @@ def links(spark, edges):
         ([("a", "b", "is_a"), ("b", "c", "is_a")], set()),
         ([("a", "b", "uses"), ("b", "a", "uses")], set()),
         ([("a", "b", "is_a"), ("b", "a", "is_a"), ("b", "m", "is_a"), ("m", "c", "is_a"), ("c", "d", "is_a"), ("d", "c", "is_a")], {"a", "b", "c", "d"}),
+        # the smallest node lies between two circles and is on none; three circles in a chain
+        ([("m", "n", "is_a"), ("n", "m", "is_a"), ("n", "a", "is_a"), ("a", "x", "is_a"), ("x", "y", "is_a"), ("y", "x", "is_a"), ("y", "b", "is_a"), ("b", "c", "is_a"), ("c", "b", "is_a")], {"m", "n", "x", "y", "b", "c"}),
+        ([(f"n{i:02}", f"n{(i * 7 + 7) % 40:02}", "is_a") for i in range(40)] + [(f"n{i:02}", f"t{i}", "is_a") for i in range(9)], None),
         ([], set()),
     ],
 )
 def test_cycles(spark, edges, found):
+    if found is None:  # by walking from every node
+        after = {}
+        for a, b, _ in edges:
+            after.setdefault(a, set()).add(b)
+        found = set()
+        for start in after:
+            seen, todo = set(), list(after[start])
+            while todo:
+                node = todo.pop()
+                if node not in seen:
+                    seen.add(node)
+                    todo += after.get(node, ())
+            found |= {start} & seen
+        assert found
     assert {r["object_id"] for r in ontology.cycles(links(spark, edges)).collect()} == found
 
 
