@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.staging import stage
+
 # Relation types of the predicates; the viewer's threshold and sizes.
 RELATION_TYPES = {"is_a": "IS_A", "part_of": "PART_OF", "depends_on": "DEPENDS_ON", "example_of": "EXAMPLE_OF", "extends": "EXTENDS", "uses": "USES", "optimized_by": "OPTIMIZED_BY"}
 NODE_LABELS = {"concept": "Concept", "implementation": "File", "reference": "Concept"}
@@ -76,7 +78,8 @@ def neighbourhood(edges: DataFrame, start: str, hops: int = 2) -> DataFrame:
     rel = F.lit(None).cast("string")
     for predicate, name in RELATION_TYPES.items():
         rel = F.when(F.col("predicate") == predicate, F.lit(name)).otherwise(rel)
-    links = distinct_edges(edges).withColumn("rel", rel).where("rel is not null").select("source_id", "target_id", "rel").distinct()
+    # staged, as every hop joins with all of them
+    links = stage(distinct_edges(edges).withColumn("rel", rel).where("rel is not null").select("source_id", "target_id", "rel").distinct(), "links")
     links = links.withColumn("edge", F.struct("source_id", "rel", "target_id"))
     out = links.select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), "rel", "edge")
     back = links.where("source_id <> target_id").select(F.col("target_id").alias("here"), F.col("source_id").alias("there"), "rel", "edge")

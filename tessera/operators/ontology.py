@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.staging import stage
+
 # Class, depth, parent.
 CLASSES = [
     ("KnowledgeObject", None, None), ("Concept", None, "KnowledgeObject"), ("Implementation", None, "KnowledgeObject"), ("Reference", None, "KnowledgeObject"),
@@ -87,37 +89,63 @@ def type_mismatches(links: DataFrame, objects: DataFrame) -> DataFrame:
     return both.where(~allowed).select("batch", F.col("source_id").alias("object_id"), F.lit("type_mismatch").alias("rule"), message.alias("message"))
 
 
-def cycles(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """Objects on a circle of hierarchy links.
+def cycles(links: DataFrame) -> DataFrame:
+    """Objects on a circle of hierarchy links: those in a strongly connected component of several, and those linked to themselves.
 
-    Nodes without a predecessor or a successor among the remaining ones are cut off until none is left to
-    cut; what remains lies on circles or between them, and of that the nodes that reach themselves come out. The
-    first step shrinks a hierarchy by a level a round without ever holding paths.
+    First nodes without a predecessor or a successor among the remaining ones are cut off until none is left to
+    cut, which shrinks a hierarchy by a level a round. What remains lies on circles or between them. There every node
+    takes the smallest label that reaches it and the smallest that it reaches; links between nodes whose two labels
+    differ are on no circle and go, and the rest is trimmed and labelled again, until the labels show that every
+    node reaches the smallest of its part and is reached by it. No step holds more than a row per link and node.
     """
-    from tessera.staging import stage
+    edges = links.where(F.col("predicate").isin(HIERARCHY)).select("batch", F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a is not null and b is not null")
+    empty = links.select("batch", F.col("source_id").alias("object_id"), F.lit("").alias("rule"), F.lit("").alias("message")).limit(0)
+    if edges.isEmpty():
+        return empty
+    edges = stage(edges.distinct(), "hierarchy")
+    found = stage(edges.where("a = b").select("batch", F.col("a").alias("id")), "self-links")
+    edges = _trimmed(edges.where("a <> b"))
+    while not edges.isEmpty():
+        labels = _labels(edges)
+        ends = lambda end: labels.select("batch", F.col("id").alias(end), F.struct("down", "up").alias(f"label_{end}"))
+        inner = edges.join(ends("a"), ["batch", "a"]).join(ends("b"), ["batch", "b"]).where("label_a = label_b")
+        # nodes whose two labels are the same reach that node and are reached by it: a component, or a node alone between circles
+        settled = labels.where("down = up").select("batch", "id", "down")
+        several = settled.groupBy("batch", "down").count().where("count > 1").select("batch", "down")
+        found = found.unionByName(settled.join(several, ["batch", "down"], "left_semi").select("batch", "id"))
+        rest = inner.join(settled.select("batch", F.col("id").alias("a")), ["batch", "a"], "left_anti").select("batch", "a", "b")
+        edges = _trimmed(rest)
+    found = found.distinct().withColumnRenamed("id", "object_id")
+    return found.select("batch", "object_id", F.lit("cycle_detected").alias("rule"), F.format_string(MESSAGES["cycle_detected"], "object_id").alias("message"))
+
 
-    edges = stage(links.where(F.col("predicate").isin(HIERARCHY)).select("batch", F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a is not null and b is not null").distinct(), "hierarchy")
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The links (batch, a, b) whose two ends have both a predecessor and a successor among what is left, staged."""
+    edges = stage(edges, "core")
     n = edges.count()
-    for _ in range(rounds):
+    while n:
         inner = edges.join(edges.select("batch", F.col("b").alias("a")).distinct(), ["batch", "a"], "left_semi")
-        inner = stage(inner.join(inner.select("batch", F.col("a").alias("b")).distinct(), ["batch", "b"], "left_semi").select("batch", "a", "b"), "core")
-        left = inner.count()
-        edges, done, n = inner, left == n, left
-        if done or not n:
+        edges = stage(inner.join(inner.select("batch", F.col("a").alias("b")).distinct(), ["batch", "b"], "left_semi").select("batch", "a", "b"), "core")
+        before, n = n, edges.count()
+        if n == before:
             break
-    # reachability within the core, doubling the length of the paths a round
-    reach = edges
-    for _ in range(20):
-        if not n:
-            break
-        longer = reach.join(reach.select("batch", F.col("a").alias("b"), F.col("b").alias("c")), ["batch", "b"]).select("batch", "a", F.col("c").alias("b"))
-        grown = stage(reach.unionByName(longer).distinct(), "reach")
-        m = grown.count()
-        reach, done, n = grown, m == n, m
-        if done:
-            break
-    found = reach.where("a = b").select("batch", F.col("a").alias("object_id")).distinct()
-    return found.select("batch", "object_id", F.lit("cycle_detected").alias("rule"), F.format_string(MESSAGES["cycle_detected"], "object_id").alias("message"))
+    return edges
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(batch, id, down, up): the smallest node that reaches each node, and the smallest that it reaches, itself included."""
+    nodes = edges.select("batch", F.explode(F.array("a", "b")).alias("id")).distinct()
+    labels = stage(nodes.select("batch", "id", F.col("id").alias("down"), F.col("id").alias("up")), "labels")
+    while True:
+        start = labels.select("batch", F.col("id").alias("a"), F.col("down").alias("first"))
+        end = labels.select("batch", F.col("id").alias("b"), F.col("up").alias("last"))
+        down = edges.join(start, ["batch", "a"]).groupBy("batch", F.col("b").alias("id")).agg(F.min("first").alias("first"))
+        up = edges.join(end, ["batch", "b"]).groupBy("batch", F.col("a").alias("id")).agg(F.min("last").alias("last"))
+        joined = labels.join(down, ["batch", "id"], "left").join(up, ["batch", "id"], "left")
+        moved = (F.coalesce("first", "down") < F.col("down")) | (F.coalesce("last", "up") < F.col("up"))
+        labels = stage(joined.select("batch", "id", F.least("down", F.coalesce("first", "down")).alias("down"), F.least("up", F.coalesce("last", "up")).alias("up"), moved.alias("moved")), "labels")
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
 
 
 def orphans(objects: DataFrame, links: DataFrame) -> DataFrame:
