@@ -66,12 +66,17 @@ def passages_of_text(text: Column, longer_than: int = 80) -> Column:
     return sample_passages(_stripped_paragraphs(text, longer_than))
 
 
+# What a summary looks for: runs of capitalised words, marked lines, definitions.
+CAPITALISED, MARKED = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+", r"▪\s*(.+?)(?:\n|$)"
+DEFINED = r"(?:is|are|means?|refers?\s+to|defined?\s+as)\s+(.{20,120}?)[.\n]"
+
+
 def summary_of_text(name: Column, text: Column) -> Column:
     """Name, key points or longest phrases, and sampled first sentences; ties of length in alphabetical order."""
     found = lambda pattern, group: F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 1, 15)
-    nouns = found(rf"{BEFORE}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+{AFTER}", 0)
-    bullets = F.regexp_extract_all(text, F.lit(r"▪\s*(.+?)(?:\n|$)"), F.lit(1))
-    defined = found(r"(?:is|are|means?|refers?\s+to|defined?\s+as)\s+(.{20,120}?)[.\n]", 1)
+    nouns = found(f"{BEFORE}{CAPITALISED}{AFTER}", 0)
+    bullets = F.regexp_extract_all(text, F.lit(MARKED), F.lit(1))
+    defined = found(DEFINED, 1)
     phrases = F.array_distinct(F.filter(F.transform(F.concat(nouns, F.slice(bullets, 1, 15), defined), strip_spaces), lambda p: F.length(p) > 5))
     longest = F.transform(F.slice(F.array_sort(F.transform(phrases, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), 1, 8), lambda x: x["p"])
     points = F.slice(F.filter(F.transform(bullets, strip_spaces), lambda b: F.length(b) > 10), 1, 8)

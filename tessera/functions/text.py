@@ -121,17 +121,14 @@ def lines_of(text: Column) -> Column:
 
 def index_terms(text: Column) -> Column:
     """Terms of the keyword index: lower case, marks dropped, Latin letters with a mark folded, runs of letters and digits."""
-    folded = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}", ""), FOLD_FROM, FOLD_TO)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    text = F.coalesce(text, F.lit(""))
+    folded = F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), FOLD_FROM, FOLD_TO)
+    # plain text needs no folding, and its terms are found by a plain class
+    terms = F.when(text.rlike(r"[^\x00-\x7f]"), F.split(folded, r"[^\p{L}\p{N}\p{Co}]+")).otherwise(F.split(F.lower(text), "[^a-z0-9]+"))
+    return F.array_remove(terms, "")
 
 
 def query_terms(query: str) -> list[str]:
     """Words of a query: what is no letter or digit is deleted inside them; stop words and single letters go; repeats stay."""
     words = ("".join(c for c in raw if c.isalnum()) for raw in query.lower().split())
     return [w for w in words if w and w not in QUERY_STOP_WORDS and (len(w) > 1 or w.isdigit())]
-
-
-def query_terms_column(query: Column) -> Column:
-    """``query_terms`` of a column of queries."""
-    words = F.transform(F.split(F.lower(query), rf"[{SPACE_CLASS}]+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
-    return F.filter(words, lambda w: (w != "") & ~w.isin(QUERY_STOP_WORDS) & ((F.length(w) > 1) | w.rlike(r"^\p{N}$")))

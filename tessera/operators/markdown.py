@@ -15,6 +15,7 @@ from pyspark.sql.types import MapType, StringType
 
 from tessera.functions.text import SPACE_CLASS, let, lines_of, strip_spaces
 
+# Front matter, wiki links and inline tags.
 FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 WIKILINK = r"\[\[([^\]|\\]+)(?:[\\|]+([^\]]+))?\]\]"
 TAG = rf"(?:^|[{SPACE_CLASS}])#([a-zA-Z][a-zA-Z0-9_/\-]*)"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import changes, graph, ontology, search, upsert, vectors
+from tessera.operators import changes, compile, graph, ontology, search, upsert, vectors
 from tessera.plans.text_queries import STRIP, TERMS
-from tessera.staging import table
+from tessera.staging import delete_on_exit, shared_folder, table
 
 #: The previous snapshot of the change queries is what was recorded up to this second.
 CUTOFF = 1_700_000_000
@@ -90,15 +92,6 @@ def degrees(spark, folder):
 
 
 def neighbourhood(spark, folder):
-    """Paths of up to two edges around the object that is extended or optimised most often, over all such edges."""
-    edges = table(spark, folder, "edges").where("predicate in ('extends', 'optimized_by')")
-    top = graph.hubs(edges, table(spark, folder, "doc_meta"), 1).first()
-    start = top["id"] if top else ""
-    paths = graph.neighbourhood(edges, start, 2)
-    return paths.select("source", F.array_join("path_nodes", " > ").alias("path_nodes"), F.array_join("path_rels", " > ").alias("path_rels"))
-
-
-def neighbourhood_all(spark, folder):
     """Paths of up to two edges with any ontology predicate around the object that most edges of any kind point to."""
     edges = table(spark, folder, "edges")
     top = graph.hubs(edges, table(spark, folder, "doc_meta"), 1).first()
@@ -139,23 +132,21 @@ def type_check(spark, folder):
     return ontology.type_mismatches(_links(spark, folder), _objects(spark, folder)).select("object_id", "rule", "message")
 
 
-def cycle_check(spark, folder):
-    """Circles in the hierarchy of the catalog alone, with each catalogued domain also below one of its concepts."""
+def _catalog_links(spark, folder):
     catalog = table(spark, folder, "concept_catalog").where("parent_id is not null")
-    down = catalog.select(F.col("object_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
-    up = catalog.groupBy(F.col("parent_id").alias("source_id")).agg(F.min("object_id").alias("target_id")).select("source_id", "target_id", F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
-    return ontology.cycles(down.unionByName(up)).select("object_id", "rule")
+    return catalog.select(F.col("object_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
 
 
-def edge_cycles(spark, folder):
-    return ontology.cycles(_links(spark, folder)).select("object_id", "rule")
+def cycle_check(spark, folder):
+    """Circles in the catalog's hierarchy and the recorded edges together, with each catalogued domain, to have some circles, also below one of its concepts."""
+    down = _catalog_links(spark, folder)
+    up = down.groupBy(F.col("target_id").alias("source_id")).agg(F.min("source_id").alias("target_id")).select("source_id", "target_id", F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
+    return ontology.cycles(_links(spark, folder).unionByName(down).unionByName(up)).select("object_id", "rule")
 
 
 def hierarchy_cycles(spark, folder):
-    """Circles in the catalog's hierarchy and the recorded edges taken together."""
-    catalog = table(spark, folder, "concept_catalog").where("parent_id is not null")
-    parents = catalog.select(F.col("object_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("part_of").alias("predicate"), F.lit("all").alias("batch"))
-    return ontology.cycles(_links(spark, folder).unionByName(parents)).select("object_id", "rule")
+    """Circles in the catalog's hierarchy and the recorded edges together, as they are."""
+    return ontology.cycles(_links(spark, folder).unionByName(_catalog_links(spark, folder))).select("object_id", "rule")
 
 
 def orphan_check(spark, folder):
@@ -175,11 +166,51 @@ def cosine_filtered(spark, folder):
     return vectors.cosine_top(rows, "vec_id", "embedding", NEAR, 5, {"label": 1}).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-def embed_misses(spark, folder):
-    """Content hashes of note summaries that the cache does not hold."""
+def _summaries_and_cache(spark, folder):
+    """Summaries of notes, and the vectors of the cache, in which every tenth summary is held as well so that there is something to reuse."""
     texts = table(spark, folder, "knowledge_store").where("object_id is not null").select("object_id", "level_2").distinct()
-    cache = table(spark, folder, "embedding_cache").select("content_hash", F.array().cast("array<double>").alias("vector"))
-    return vectors.embed(texts, "object_id", "level_2", cache)[1].select("content_hash", F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+    cache = table(spark, folder, "embedding_cache").select("content_hash", F.from_json("vector", "array<double>").alias("vector")).where("vector is not null and content_hash is not null")
+    held = texts.where("level_2 is not null and length(level_2) % 10 = 3").select(vectors.content_hash(F.col("level_2")).alias("content_hash"), F.array(F.length("level_2").cast("double"), F.lit(0.5)).alias("vector"))
+    return texts, cache.unionByName(held).groupBy("content_hash").agg(F.max("vector").alias("vector"))
+
+
+def embed_misses(spark, folder):
+    """The vectors that are added to the cache: one for each distinct summary whose hash it does not hold."""
+    texts, cache = _summaries_and_cache(spark, folder)
+    return vectors.embed(texts, "object_id", "level_2", cache)[1].select("content_hash", "vector")
+
+
+def embed_reuse(spark, folder):
+    """The vector of every summary, from the cache where it holds one: its length and its first and last value."""
+    texts, cache = _summaries_and_cache(spark, folder)
+    return vectors.embed(texts, "object_id", "level_2", cache)[0].select(F.col("key").alias("object_id"), F.size("vector").cast("long").alias("n"), F.get("vector", F.lit(0)).alias("first"), F.element_at("vector", -1).alias("last"))
+
+
+def object_json(spark, folder):
+    """The JSON form of the recorded objects, with their edges as relationships."""
+    levels = table(spark, folder, "knowledge_store").where("object_id is not null").groupBy("object_id").agg(F.min(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "level_0", "level_1", "level_2", "level_3")])).alias("k"))
+    meta = table(spark, folder, "doc_meta").where("object_id is not null").groupBy("object_id").agg(F.min(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("domain", "doc_type", "file_path")])).alias("m"))
+    link = F.struct(F.col("target_id").alias("target"), F.coalesce("predicate", F.lit("")).alias("predicate"))
+    links = graph.distinct_edges(table(spark, folder, "edges")).groupBy(F.col("source_id").alias("object_id")).agg(F.sort_array(F.collect_list(link)).alias("relationships"))
+    rows = levels.join(meta, "object_id").join(links, "object_id", "left")
+    none = F.array().cast("array<struct<target:string,predicate:string>>")
+    objects = rows.select(
+        F.col("object_id").alias("id"), F.col("m.doc_type").alias("type"), "k.name", "m.domain", F.col("m.file_path").alias("source_file"), "k.level_0", "k.level_1", "k.level_2", "k.level_3",
+        F.lit("Concept").alias("ontology_class"), F.lit(3).alias("ontology_depth"), F.coalesce("relationships", none).alias("relationships"), F.filter(F.split("k.level_3", "; "), lambda t: t != "").alias("tags"),
+    )
+    return compile.object_json(objects)
+
+
+def graph_sync(spark, folder):
+    """Nodes of the graph after the objects of the newest edges have been synchronised with it: known ones and placeholders."""
+    edges = graph.distinct_edges(table(spark, folder, "edges"))
+    meta = table(spark, folder, "doc_meta").where("object_id is not null").groupBy(F.col("object_id").alias("id")).agg(F.min(F.coalesce("doc_type", F.lit(""))).alias("type"))
+    known = spark.createDataFrame(list(graph.RELATION_TYPES.items()), "predicate string, rel_type string")
+    nodes = meta.select("id", graph.node_label(F.col("type")).alias("label"))
+    new = nodes.join(edges.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
+    after, linked = upsert.sync_objects(nodes, edges.limit(0).select("source_id", "target_id", F.lit("").alias("rel_type")), new, edges.join(new.select(F.col("id").alias("source_id")), "source_id", "left_semi"), known)
+    degree = linked.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n_inbound"))
+    return after.join(degree, "id", "left").select("id", "label", F.coalesce("n_inbound", F.lit(0)).alias("n_inbound"))
 
 
 def bm25_single(spark, folder):
@@ -190,6 +221,14 @@ def bm25_multi(spark, folder):
     return search.search_documents(table(spark, folder, "documents"), "doc_id", QUERY, 25).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def index_bm25(spark, folder):
+    """The same query against a stored index of all documents, which is built here."""
+    path = f"{shared_folder(spark)}/tessera-index-{uuid.uuid4().hex}"
+    search.build_index(table(spark, folder, "documents"), "doc_id", path)
+    delete_on_exit(spark, path)
+    return search.search_index(spark, path, QUERY, 25).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def pointers(spark, folder):
     hits = search.search_documents(table(spark, folder, "documents"), "doc_id", QUERY, 25)
     found = search.pointers(hits, "doc_id", QUERY)
@@ -204,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff, deleted_paths, status_counts, content_duplicates, upsert_last_wins, edge_upsert, duplicate_objects, object_lookup, linkable_edges, hubs, graph_nodes, closed_edges, degrees,
-        neighbourhood, neighbourhood_all, graph_export, class_check, predicate_check, type_check, cycle_check, edge_cycles, hierarchy_cycles, orphan_check, class_bases, cosine_top, cosine_filtered, embed_misses, bm25_single, bm25_multi,
+        neighbourhood, graph_export, graph_sync, object_json, class_check, predicate_check, type_check, cycle_check, hierarchy_cycles, orphan_check, class_bases, cosine_top, cosine_filtered, embed_misses, embed_reuse, bm25_single, bm25_multi, index_bm25,
         pointers, postings,
     )
 }
@@ -248,6 +287,17 @@ def bm25_sql(query: str, limit: int) -> str:
     top AS (SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT {limit})"""
 
 
+def _json(**fields: str) -> str:
+    """A JSON object of expressions, in which nulls do not appear."""
+    parts = " || ".join(f"""CASE WHEN {value} IS NULL THEN '' ELSE ',"{name}":' || to_json({value}) END""" for name, value in fields.items())
+    return f"'{{' || substr({parts}, 2) || '}}'"
+
+
+#: Summaries t(object_id, level_2, h), the cache c(h, v) in which every tenth of them is held, and the vector of a text without an entry.
+SUMMARIES = """t AS (SELECT DISTINCT object_id, level_2, sha256(level_2) AS h FROM knowledge_store WHERE object_id IS NOT NULL),
+      a AS (SELECT content_hash AS h, TRY_CAST(vector AS DOUBLE[]) AS v FROM embedding_cache WHERE content_hash IS NOT NULL UNION ALL SELECT h, [length(level_2)::DOUBLE, 0.5] FROM t WHERE level_2 IS NOT NULL AND length(level_2) % 10 = 3),
+      c AS (SELECT h, max(v) AS v FROM a WHERE v IS NOT NULL GROUP BY 1)"""
+HASHED = r"""list_transform(range(1024), lambda i: CASE WHEN regexp_matches(level_2, '[^\s\p{Z}]') THEN ((('0x' || substr(h, 2 * (i % 32)::INTEGER + 1, 2))::INTEGER) - 128) / 128.0::DOUBLE ELSE 0::DOUBLE END)"""
 ASKED = "[" + ", ".join(f"'{w}'" for w in sorted(set(QUERY.split()))) + "]"
 WORDS_OF = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 
@@ -270,12 +320,7 @@ ORACLES = {
     "class_bases": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"{v}::BIGINT" if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in ((n, d, p, "Concept" if p == "Concept" else n if n in ontology.BASES else None) for n, d, p in ontology.CLASSES)) + ") t(class, depth, parent, base)",
     "closed_edges": f"WITH {EDGES} SELECT * FROM e WHERE source_id IN (SELECT object_id FROM doc_meta) AND target_id IN (SELECT object_id FROM doc_meta)",
     "degrees": f"WITH {EDGES}, x AS (SELECT target_id AS id, 1 AS i, 0 AS o FROM e UNION ALL SELECT source_id, 0, 1 FROM e) SELECT id, sum(i)::BIGINT AS inbound, sum(o)::BIGINT AS outbound, sum(i) >= 3 AS is_hub, least(4 + 2 * sum(i), 20)::BIGINT AS radius FROM x GROUP BY 1",
-    "neighbourhood": f"""WITH {EDGES.replace('IS NOT NULL)', "IS NOT NULL AND predicate IN ('extends', 'optimized_by'))")}, s AS (SELECT target_id AS start FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-      k AS (SELECT source_id AS h, target_id AS t, upper(predicate) AS rel, source_id || '|' || predicate || '|' || target_id AS edge FROM e UNION ALL SELECT target_id, source_id, upper(predicate), source_id || '|' || predicate || '|' || target_id FROM e WHERE source_id <> target_id),
-      one AS (SELECT h || ' > ' || t AS path_nodes, rel AS path_rels, edge, t FROM k, s WHERE h = start),
-      two AS (SELECT path_nodes || ' > ' || k.t AS path_nodes, path_rels || ' > ' || k.rel AS path_rels FROM one JOIN k ON k.h = one.t WHERE k.edge <> one.edge)
-      SELECT start AS source, path_nodes, path_rels FROM s LEFT JOIN (SELECT path_nodes, path_rels FROM one UNION ALL SELECT * FROM two) ON true""",
-    "neighbourhood_all": f"""WITH {EDGES}, s AS (SELECT target_id AS start FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    "neighbourhood": f"""WITH {EDGES}, s AS (SELECT target_id AS start FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
       o AS (SELECT source_id, target_id, upper(predicate) AS rel, source_id || '|' || predicate || '|' || target_id AS edge FROM e WHERE predicate IN {PREDICATES}),
       k AS (SELECT source_id AS h, target_id AS t, rel, edge FROM o UNION ALL SELECT target_id, source_id, rel, edge FROM o WHERE source_id <> target_id),
       one AS (SELECT h || ' > ' || t AS path_nodes, rel AS path_rels, edge, t FROM k, s WHERE h = start),
@@ -286,9 +331,8 @@ ORACLES = {
     "predicate_check": f"WITH {LINKS} SELECT source_id AS object_id, 'invalid_predicate' AS rule, 'Predicate ''' || coalesce(predicate, '') || ''' is not allowed' AS message FROM l WHERE predicate IS NULL OR predicate NOT IN {PREDICATES}",
     "type_check": f"""WITH {LINKS}, {OBJECTS}, {RULES} SELECT l.source_id AS object_id, 'type_mismatch' AS rule, 'Predicate ''' || predicate || ''' invalid between ''' || x.cls || ''' and ''' || y.cls || '''' AS message
       FROM l JOIN b x ON x.id = l.source_id JOIN b y ON y.id = l.target_id WHERE predicate IN {PREDICATES} AND NOT EXISTS (SELECT 1 FROM r WHERE r.p = predicate AND r.s = {BASE.format('x.cls')} AND r.t = {BASE.format('y.cls')})""",
-    "cycle_check": f"""WITH RECURSIVE h AS (SELECT object_id AS a, parent_id AS b FROM concept_catalog WHERE parent_id IS NOT NULL UNION SELECT parent_id, min(object_id) FROM concept_catalog WHERE parent_id IS NOT NULL GROUP BY 1),
-      reach AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM reach r JOIN h ON h.a = r.b) {CYCLE}""",
-    "edge_cycles": f"""WITH RECURSIVE h AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE predicate IN ('is_a', 'part_of') AND source_id IS NOT NULL AND target_id IS NOT NULL),
+    "cycle_check": f"""WITH RECURSIVE h AS (SELECT source_id AS a, target_id AS b FROM edges WHERE predicate IN ('is_a', 'part_of') AND source_id IS NOT NULL AND target_id IS NOT NULL UNION SELECT object_id, parent_id FROM concept_catalog WHERE parent_id IS NOT NULL
+        UNION SELECT parent_id, min(object_id) FROM concept_catalog WHERE parent_id IS NOT NULL GROUP BY 1),
       reach AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM reach r JOIN h ON h.a = r.b) {CYCLE}""",
     "hierarchy_cycles": f"""WITH RECURSIVE h AS (SELECT source_id AS a, target_id AS b FROM edges WHERE predicate IN ('is_a', 'part_of') AND source_id IS NOT NULL AND target_id IS NOT NULL UNION SELECT object_id, parent_id FROM concept_catalog WHERE parent_id IS NOT NULL),
       reach AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM reach r JOIN h ON h.a = r.b) {CYCLE}""",
@@ -297,8 +341,23 @@ ORACLES = {
       AND NOT EXISTS (SELECT 1 FROM l JOIN b c ON c.id = l.target_id AND c.type = 'concept' WHERE l.source_id = b.id AND l.predicate IN ('example_of', 'is_a', 'part_of'))""",
     "cosine_top": f"SELECT vec_id, label, round({COSINE}, 6) AS score FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 10",
     "cosine_filtered": f"SELECT vec_id, label, round({COSINE}, 6) AS score FROM embeddings WHERE label = 1 ORDER BY {COSINE} DESC, vec_id LIMIT 5",
-    "embed_misses": """SELECT h AS content_hash, round(CASE WHEN trim(level_2) = '' THEN 0 ELSE ((('0x' || substr(h, 1, 2))::INTEGER) - 128) / 128.0::DOUBLE END, 6) AS first FROM (SELECT DISTINCT sha256(level_2) AS h, level_2 FROM knowledge_store WHERE object_id IS NOT NULL AND level_2 IS NOT NULL)
-      WHERE h NOT IN (SELECT content_hash FROM embedding_cache WHERE content_hash IS NOT NULL)""",
+    "embed_misses": f"""WITH {SUMMARIES} SELECT h AS content_hash, {HASHED} AS vector FROM (SELECT DISTINCT h, level_2 FROM t WHERE level_2 IS NOT NULL) WHERE h NOT IN (SELECT h FROM c)""",
+    "embed_reuse": f"""WITH {SUMMARIES}, v AS (SELECT object_id, coalesce(c.v, {HASHED.replace('substr(h', 'substr(t.h')}) AS v FROM t LEFT JOIN c ON c.h = t.h WHERE level_2 IS NOT NULL)
+      SELECT object_id, len(v)::BIGINT AS n, v[1] AS first, v[-1] AS last FROM v""",
+    "graph_export": f"""WITH {EDGES}, k AS (SELECT DISTINCT object_id AS id, name, file_path, domain FROM doc_meta WHERE object_id IS NOT NULL), x AS (SELECT source_id AS id FROM e UNION SELECT target_id FROM e),
+      n AS (SELECT * FROM k UNION ALL SELECT id, id, '', '' FROM x WHERE id NOT IN (SELECT id FROM k))
+      SELECT 'node' AS kind, {_json(id='id', name='name', file_path='file_path', domain='domain')} AS json FROM n UNION ALL SELECT 'edge', {_json(source='source_id', target='target_id', predicate='predicate')} FROM e""",
+    "graph_sync": f"""WITH {EDGES}, m AS (SELECT object_id AS id, CASE min(coalesce(doc_type, '')) WHEN 'implementation' THEN 'File' ELSE 'Concept' END AS label FROM doc_meta WHERE object_id IS NOT NULL GROUP BY 1),
+      l AS (SELECT DISTINCT source_id, target_id, upper(predicate) AS rel FROM e WHERE predicate IN {PREDICATES} AND source_id IN (SELECT id FROM m)),
+      n AS (SELECT * FROM m UNION ALL SELECT DISTINCT target_id, 'Concept' FROM l WHERE target_id NOT IN (SELECT id FROM m)), d AS (SELECT target_id, count(*) AS k FROM l GROUP BY 1)
+      SELECT id, label, coalesce(k, 0)::BIGINT AS n_inbound FROM n LEFT JOIN d ON d.target_id = n.id""",
+    "object_json": f"""WITH {EDGES}, k AS (SELECT object_id, min(struct_pack(name := coalesce(name, ''), l0 := coalesce(level_0, ''), l1 := coalesce(level_1, ''), l2 := coalesce(level_2, ''), l3 := coalesce(level_3, ''))) AS k FROM knowledge_store WHERE object_id IS NOT NULL GROUP BY 1),
+      m AS (SELECT object_id, min(struct_pack(domain := coalesce(domain, ''), kind := coalesce(doc_type, ''), path := coalesce(file_path, ''))) AS m FROM doc_meta WHERE object_id IS NOT NULL GROUP BY 1),
+      r AS (SELECT source_id, '[' || string_agg({_json(target='target_id', predicate="coalesce(predicate, '')")}, ',' ORDER BY target_id, coalesce(predicate, '')) || ']' AS r FROM e GROUP BY 1)
+      SELECT k.object_id AS id, '{{"id":' || to_json(k.object_id) || ',"type":' || to_json(m.m.kind) || ',"name":' || to_json(k.k.name) || ',"domain":' || to_json(m.m.domain) || ',"source_file":' || to_json(m.m.path) || ',"abstractions":'
+        || {_json(level_0='k.k.l0', level_1='k.k.l1', level_2='k.k.l2', level_3='k.k.l3')} || ',"ontology":{{"class":"Concept","depth":3}},"relationships":' || coalesce(r, '[]') || ',"tags":[' || array_to_string(list_transform(list_filter(string_split(k.k.l3, '; '), lambda t: t <> ''), lambda t: to_json(t)), ',') || ']}}' AS json
+      FROM k JOIN m USING (object_id) LEFT JOIN r ON r.source_id = k.object_id""",
+    "index_bm25": f"WITH {bm25_sql(QUERY, 25)} SELECT doc_id, round(score, 6) AS score FROM top",
     "bm25_single": f"WITH {bm25_sql('certificate', 10)} SELECT doc_id, round(score, 6) AS score FROM top",
     "bm25_multi": f"WITH {bm25_sql(QUERY, 25)} SELECT doc_id, round(score, 6) AS score FROM top",
     "pointers": f"""WITH {bm25_sql(QUERY, 25)}, j AS (SELECT d.*, score FROM top JOIN documents d USING (doc_id) WHERE coalesce(file_path, '') <> ''),

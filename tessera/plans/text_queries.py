@@ -101,11 +101,6 @@ def summaries(spark, folder):
 
 
 def hash_vectors(spark, folder):
-    rows = _docs(spark, folder, "name").where("name is not null")
-    return rows.select("doc_id", F.posexplode(F.slice(hash_embedding(F.col("name"), 32), 1, 4)).alias("i", "value")).select("doc_id", F.col("i").cast("long").alias("i"), "value")
-
-
-def hash_vectors_full(spark, folder):
     """The whole vector of every name, zeros for a blank one."""
     return _docs(spark, folder, "name").where("name is not null").select("doc_id", hash_embedding(F.col("name")).alias("vector"))
 
@@ -116,7 +111,7 @@ def _notes(spark, folder):
 
 def markdown_headings(spark, folder):
     rows = _notes(spark, folder).select("object_id", F.explode_outer(markdown.headings_of(tx.lines_of(F.col("text")))).alias("h")).where("h is not null")
-    return rows.select("object_id", "h.node", F.col("h.level").cast("long").alias("level"), F.col("h.line").cast("long").alias("line"), F.col("h.line_end").cast("long").alias("line_end"), "h.is_leaf")
+    return rows.select("object_id", "h.node", F.col("h.level").cast("long").alias("level"), F.col("h.line").cast("long").alias("line"), F.col("h.line_end").cast("long").alias("line_end"), "h.is_leaf", F.col("h.parent").cast("long").alias("parent"))
 
 
 def markdown_links(spark, folder):
@@ -137,32 +132,42 @@ def markdown_front_matter(spark, folder):
     return markdown.parse_markdown(_notes(spark, folder)).select("object_id", F.to_json("metadata").alias("metadata"), F.array_join("tags", ",").alias("tags"))
 
 
-def code_comments(spark, folder):
-    heads = table(spark, folder, "source_heads").where("head is not null").select(F.col("file_path").alias("path"), F.col("head").alias("text"))
-    return code.parse_code(heads).select("path", "parser_source", F.size("classes").alias("n_classes"), F.size("functions").alias("n_functions"), F.array_join("comments", "\n").alias("comments"))
+def _heads(spark, folder):
+    return table(spark, folder, "source_heads").where("head is not null").select(F.col("file_path").alias("path"), F.col("head").alias("text"))
+
+
+def code_bundles(spark, folder):
+    """What is found in every code head, as JSON: imports, classes, functions, docstrings and comments."""
+    bundle = F.struct("parser_source", "imports", "classes", "functions", "docstrings", "comments")
+    return code.parse_code(_heads(spark, folder)).select("path", F.to_json(bundle).alias("bundle"))
+
+
+def hash_comments(spark, folder):
+    return _heads(spark, folder).select("path", F.array_join(code.hash_comments(F.col("text")), "\n").alias("comments"))
+
+
+def line_comments(spark, folder):
+    return _heads(spark, folder).select("path", F.array_join(code.line_comments(F.col("text")), "\n").alias("comments"))
 
 
 def compiled_objects(spark, folder):
-    """Every note and code head compiled as if it were a file, with the checks' rejections taken out."""
-    notes = _notes(spark, folder).select(F.concat("object_id", F.lit(".md")).alias("path"), "text", F.lit(0).cast("long").alias("seq"))
-    heads = table(spark, folder, "source_heads").where("head is not null").select(F.col("file_path").alias("path"), F.col("head").alias("text"), F.lit(0).cast("long").alias("seq"))
-    objects = stage(cp.compile_markdown(notes).unionByName(cp.compile_code(heads)), "objects")
+    """Every note, code head and plain text compiled as if it were a file, with the checks' rejections taken out."""
+    seq = F.lit(0).cast("long").alias("seq")
+    notes = _notes(spark, folder).select(F.concat("object_id", F.lit(".md")).alias("path"), "text", seq)
+    heads = _heads(spark, folder).select("path", "text", seq)
+    texts = table(spark, folder, "documents").where("content is not null").select(F.concat(F.lit("/texts/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("content").alias("text"), seq)
+    objects = stage(cp.compile_markdown(notes).unionByName(cp.compile_code(heads)).unionByName(cp.compile_text(texts)), "objects")
     batch = objects.select(F.col("source_file").alias("batch"), "id", "type", "ontology_class", "level_0", "level_2")
     bad = ontology.validate(batch, cp.links_of_objects(objects)).select(F.col("batch").alias("source_file"), F.col("object_id").alias("id")).distinct()
     return objects.join(bad, ["source_file", "id"], "left_anti").select("id", "type", "name", "domain", "source_file", "level_1", "level_2", "level_3", F.size("relationships").alias("n_links"))
 
 
-def object_json(spark, folder):
-    heads = table(spark, folder, "source_heads").where("head is not null").select(F.col("file_path").alias("path"), F.col("head").alias("text"), F.lit(0).cast("long").alias("seq"))
-    return cp.object_json(cp.compile_code(heads))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         slugs, split_identifiers, name_domains, tag_domains, token_estimates, embedding_texts, file_types, ignored_paths, term_frequency, document_frequency, keywords_unigram, keywords_bigram,
-        proper_nouns, keywords_top100, outlines, passages, summaries, hash_vectors, hash_vectors_full, markdown_headings, markdown_links, markdown_tags, markdown_blocks, markdown_front_matter, code_comments,
-        compiled_objects, object_json,
+        proper_nouns, keywords_top100, outlines, passages, summaries, hash_vectors, markdown_headings, markdown_links, markdown_tags, markdown_blocks, markdown_front_matter, code_bundles,
+        hash_comments, line_comments, compiled_objects,
     )
 }
 
@@ -212,7 +217,7 @@ marked AS (SELECT *, length(regexp_extract(line, '^#+')) AS level, {STRIP.format
 heads AS (SELECT object_id, text, level, title, n AS line, lead(level) OVER p AS next_level, lead(n) OVER p AS next_line
           FROM marked WHERE level > 0 AND title <> '' WINDOW p AS (PARTITION BY object_id, text ORDER BY n)),
 h AS (SELECT t.object_id, t.text, 'H' || level || ': ' || title AS node, level::BIGINT AS level, line::BIGINT AS line, coalesce(next_line - 1, len(s.lines))::BIGINT AS line_end,
-      coalesce(next_level, 0) <= level AS is_leaf FROM heads t JOIN notes s ON s.object_id = t.object_id AND s.text = t.text)
+      coalesce(next_level, 0) <= level AS is_leaf, row_number() OVER (PARTITION BY t.object_id, t.text ORDER BY line) - 1 AS i FROM heads t JOIN notes s ON s.object_id = t.object_id AND s.text = t.text)
 """
 
 ORACLES = {
@@ -249,10 +254,10 @@ ORACLES = {
     "passages": f"""WITH p AS (SELECT doc_id, {PARAGRAPHS.replace('@chars@', '80')} AS p FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, CASE WHEN len(p) <= 3 THEN p ELSE [p[1], p[len(p) // 2 + 1], p[len(p)]] END AS s FROM p)
     SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS passage FROM s""",
-    "hash_vectors": "SELECT doc_id, i::BIGINT AS i, ((('0x' || substr(sha256(name), 2 * i + 1, 2))::INTEGER) - 128) / 128.0::DOUBLE AS value FROM documents, range(4) r(i) WHERE name IS NOT NULL",
-    "hash_vectors_full": r"""SELECT doc_id, list_transform(range(1024), lambda i: CASE WHEN regexp_matches(name, '[^\s\p{Z}]') THEN ((('0x' || substr(h, 2 * (i % 32)::INTEGER + 1, 2))::INTEGER) - 128) / 128.0::DOUBLE ELSE 0::DOUBLE END) AS vector
+    "hash_vectors": r"""SELECT doc_id, list_transform(range(1024), lambda i: CASE WHEN regexp_matches(name, '[^\s\p{Z}]') THEN ((('0x' || substr(h, 2 * (i % 32)::INTEGER + 1, 2))::INTEGER) - 128) / 128.0::DOUBLE ELSE 0::DOUBLE END) AS vector
       FROM (SELECT doc_id, name, sha256(name) AS h FROM documents WHERE name IS NOT NULL)""",
-    "markdown_headings": f"WITH {NOTES} SELECT object_id, node, level, line, line_end, is_leaf FROM h",
+    "markdown_headings": f"""WITH {NOTES} SELECT object_id, node, level, line, line_end, is_leaf,
+      (SELECT max(q.i) FROM h q WHERE q.object_id = h.object_id AND q.text = h.text AND q.i < h.i AND q.level < h.level)::BIGINT AS parent FROM h""",
     "markdown_links": rf"""WITH {NOTES}, m AS (SELECT object_id, n, unnest(regexp_extract_all(line, '\[\[([^\]|\\]+)(?:[\\|]+([^\]]+))?\]\]', 1)) AS t, unnest(regexp_extract_all(line, '\[\[([^\]|\\]+)(?:[\\|]+([^\]]+))?\]\]', 2)) AS a FROM ln)
     SELECT object_id, {STRIP.format('t')} AS target, nullif({STRIP.format('a')}, '') AS alias, n::BIGINT AS line FROM m""",
     "markdown_tags": rf"""SELECT DISTINCT object_id, text, tag FROM (SELECT object_id, level_0 AS text, unnest(regexp_extract_all(regexp_replace(level_0, '([\s\p{{Z}}])', '\1\1', 'g'), '(?:^|[\s\p{{Z}}])#([a-zA-Z][a-zA-Z0-9_/\-]*)', 1)) AS tag FROM (SELECT DISTINCT object_id, level_0 FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL))""",
@@ -264,3 +269,20 @@ ORACLES["file_types"] = f"""SELECT file_path, suffix, CASE WHEN suffix IN {_list
   FROM (SELECT DISTINCT file_path, {SUFFIX} AS suffix FROM file_state)"""
 ORACLES["ignored_paths"] = f"SELECT DISTINCT file_path FROM file_state WHERE list_has_any(string_split(substr(file_path, 2), '/'), [{', '.join(repr(d) for d in files.IGNORED)}]) OR file_path LIKE '%.min.js' OR contains(file_path, 'archive')"
 ORACLES["markdown_tags"] = "SELECT object_id, tag FROM (" + ORACLES["markdown_tags"] + ")"
+ORACLES["markdown_front_matter"] = rf"""WITH f AS (SELECT DISTINCT object_id, level_0 AS text, regexp_extract(level_0, '^---[\s]*\n(?s:(.*?))\n---[\s]*\n', 1) AS y FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL),
+  m AS (SELECT *, regexp_extract(y, 'title: ([^\n]*)', 1) AS title, regexp_extract(y, 'tags: \[([^\n]*)\]', 1) AS tags FROM f),
+  g AS (SELECT *, CASE WHEN tags = '' THEN [] ELSE string_split(tags, ', ') END AS listed FROM m)
+  SELECT object_id, '{{' || CASE WHEN title = '' THEN '' ELSE '"title":' || to_json(title) END || CASE WHEN y LIKE '%tags:%' THEN ',"tags":' || to_json('[' || array_to_string(list_transform(listed, lambda t: '"' || t || '"'), ', ') || ']') ELSE '' END || '}}' AS metadata,
+    array_to_string(list_sort(list_distinct(list_concat(listed, regexp_extract_all(regexp_replace(text, '([\s\p{{Z}}])', '\1\1', 'g'), '(?:^|[\s\p{{Z}}])#([a-zA-Z][a-zA-Z0-9_/\-]*)', 1)))), ',') AS tags FROM g"""
+HEAD_LINES = rf"SELECT file_path AS path, list_transform(regexp_split_to_array(head, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: {STRIP.format('l')}) AS l FROM source_heads WHERE head IS NOT NULL"
+LONG_ENOUGH = f"array_to_string(list_filter(list_transform(c, lambda x: {STRIP.format('x')}), lambda x: length(x) >= {code.MIN_COMMENT}), chr(10)) AS comments"
+ORACLES["hash_comments"] = rf"SELECT path, {LONG_ENOUGH} FROM (SELECT path, list_transform(list_filter(l, lambda x: contains(x, '#')), lambda x: CASE WHEN starts_with(x, '#') THEN regexp_replace(x, '^#+', '') ELSE regexp_extract(x, '^[^#]*#(.*)$', 1) END) AS c FROM ({HEAD_LINES}))"
+ORACLES["line_comments"] = rf"SELECT path, {LONG_ENOUGH} FROM (SELECT path, list_transform(list_filter(l, lambda x: regexp_matches(x, '^(?://|#|/\*)')), lambda x: CASE WHEN starts_with(x, '/*') THEN regexp_replace(x, '^[/*]+|[*/]+$', '', 'g') ELSE regexp_replace(x, '^[/#]+', '') END) AS c FROM ({HEAD_LINES}))"
+ORACLES["summaries"] = rf"""WITH b AS (SELECT doc_id, coalesce(name, '') AS name, text, list_transform(regexp_extract_all(text, '▪\s*(.+?)(?:\n|$)', 1), lambda p: {STRIP.format('p')}) AS bullets,
+    regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_]*[{LETTERS}][A-Za-z0-9_{LETTERS}]*', '0', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b')[1:15] AS nouns,
+    regexp_extract_all(text, '(?:is|are|means?|refers?\s+to|defined?\s+as)\s+(.{{20,120}}?)[.\n]', 1)[1:15] AS defined, {PARAGRAPHS.replace('@chars@', '80')} AS p FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT *, list_filter(list_transform(list_concat(list_concat(nouns, bullets[1:15]), defined), lambda p: {STRIP.format('p')}), lambda p: length(p) > 5) AS phrases,
+    list_filter(bullets, lambda b: length(b) > 10)[1:8] AS points, CASE WHEN len(p) <= 3 THEN p ELSE [p[1], p[len(p) // 2 + 1], p[len(p)]] END AS s FROM b),
+  d AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(phrases), lambda p: struct_pack(n := -length(p), p := p)))[1:8], lambda x: x.p) AS longest, list_filter(list_transform(s, lambda p: {SENTENCE}), lambda x: length(x) > 30) AS sentences FROM c)
+  SELECT doc_id, CASE WHEN length(text) >= {ab.MIN_CHARS} THEN substr(array_to_string(list_filter(list_concat([name || '.', CASE WHEN len(points) > 0 THEN 'Key topics: ' || array_to_string(points, '; ') WHEN len(longest) > 0 THEN 'Covers: ' || array_to_string(longest, ', ') END],
+    list_transform(sentences, lambda x: substr(x, 1, 200))), lambda x: x IS NOT NULL), ' '), 1, 800) ELSE '' END AS summary FROM d"""
