@@ -204,11 +204,63 @@ def _leaks() -> str:
       f AS (SELECT doc_id, item_id, max(n)::BIGINT AS n_words FROM n GROUP BY 1, 2)"""
 
 
+def _skeleton(column: str) -> str:
+    out = f"translate(lower({column}), {_quoted(''.join(scan_repair.CONFUSED))}, {_quoted(''.join(scan_repair.CONFUSED.values()))})"
+    for pair, one in scan_repair.CONFUSED_PAIRS:
+        out = f"replace({out}, '{pair}', '{one}')"
+    return out
+
+
+def _scan_defects() -> str:
+    sr, q = scan_repair, _quoted
+    part = lambda k: f"regexp_extract(squeezed, {q(sr.HEADER)}, {k})"
+    unfinished = lambda x: f"(regexp_matches({x}, {q(rf'[\p{{L}}\p{{N}},]\s*$|{sr.BROKEN}')}) AND NOT regexp_matches({x}, {q(sr.MARKUP)}))"
+    prose = lambda x: f"(length({x}) >= greatest(2 * length(line), 1) AND regexp_matches({x}, '(?:\\S+\\s+){{7}}\\S'))"
+    mask = lambda x: f"upper(regexp_replace(regexp_replace(trim({x}), '\\s+', ' ', 'g'), '\\d+', '#', 'g'))"
+    over = "OVER (PARTITION BY rec ORDER BY n)"
+    return rf"""WITH rec AS (SELECT row_number() OVER () AS rec, * FROM (SELECT DISTINCT 'knowledge_store' AS table_name, object_id AS record_key, level_0 AS text FROM knowledge_store WHERE level_0 <> '' AND object_id IS NOT NULL
+        UNION ALL SELECT 'documents', doc_id::VARCHAR, content FROM documents WHERE content <> '' AND doc_id IS NOT NULL)),
+      a1 AS (SELECT rec, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS n FROM (SELECT rec, regexp_split_to_array(text, '\r?\n') AS s FROM rec WHERE contains(text, chr(10)))),
+      a2 AS (SELECT *, regexp_matches(line, {q(sr.FENCE)}) AS f FROM a1), a3 AS (SELECT *, f OR (sum(f::INT) {over}) % 2 = 1 AS fenced FROM a2),
+      a4 AS (SELECT *, NOT fenced AND regexp_matches(line, {q(sr.PAGE_LINE)}) AS page_like FROM a3),
+      a5 AS (SELECT *, CASE WHEN NOT fenced AND NOT page_like AND regexp_matches(line, '^\p{{Lu}}|\s{{2}}\S|[•·|–—:]') THEN regexp_replace(rtrim(line), '\s{{2,}}', '  ', 'g') END AS squeezed,
+        page_like AND NOT coalesce(lag(page_like) {over}, false) AND NOT coalesce(lead(page_like) {over}, false) AS page, coalesce(lag(line) {over}, '') AS b1, coalesce(lag(line, 2) {over}, '') AS b2, coalesce(lead(line) {over}, '') AS f1, coalesce(lead(line, 2) {over}, '') AS f2 FROM a4),
+      a6 AS (SELECT *, {part(3)} AS t, regexp_split_to_array({part(3)}, '\s+') AS w, coalesce(lag(page) {over}, false) AS page_before, coalesce(lead(page) {over}, false) AS page_after FROM a5),
+      a7 AS (SELECT *, CASE WHEN regexp_matches(squeezed, {q(sr.HEADER)}) AND len(w) > 1 AND regexp_matches(w[-1], {q(f'^{sr.WORD_UP}$')}) AND list_bool_and(list_transform(w, lambda x: regexp_matches(x, {q(sr.TITLE_WORD)}))) THEN t END AS header,
+        regexp_matches(f1, '^[\p{{Ll}}\p{{N}}]') AS goes_on FROM a6),
+      a8 AS (SELECT *, header IS NOT NULL AND n > 0 AND (page_before OR page_after OR {part(1)} || {part(2)} || {part(4)} || {part(5)} <> '' OR goes_on AND {unfinished('b1')}) AS sure,
+        CASE WHEN fenced THEN 'fence' WHEN page THEN 'page' WHEN header IS NOT NULL THEN 'title' WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind, page OR header IS NOT NULL AND {part(1)} || {part(5)} <> '' AS has_page FROM a7),
+      a9 AS (SELECT *, kind = 'text' AND NOT page_like AND NOT regexp_matches(line, {q(rf'[.!?;,:]\s*$|{sr.MARKUP}')}) AND regexp_matches(line, '\p{{L}}') AS plain FROM a8),
+      j AS (SELECT *, plain AND (trim(b1) = '' AND trim(f1) = '' AND {unfinished('b2')} AND trim(f2) <> '' OR page_before AND {prose('f1')} OR page_after AND {prose('b1')} OR {prose('b1')} AND {prose('f1')} AND goes_on AND {unfinished('b1')}) AS apart, {mask('coalesce(header, line)')} AS mask FROM a9),
+      known AS (SELECT mask, 'title' AS of FROM j WHERE kind = 'title' GROUP BY 1 HAVING bool_or(sure) OR count(*) >= {sr.HEADER_LINES}
+        UNION ALL SELECT mask, 'text' FROM j WHERE plain GROUP BY 1 HAVING count(DISTINCT rec) FILTER (WHERE apart) >= {sr.HEADER_LINES} AND 2 * count(*) FILTER (WHERE apart) > count(*)),
+      l AS (SELECT rec, n, line, has_page, CASE WHEN kind = 'title' AND (sure OR k.mask IS NOT NULL AND n > 0) THEN 'header' WHEN kind = 'title' THEN 'text' WHEN kind = 'text' AND apart AND n > 0 AND k.mask IS NOT NULL THEN 'header' ELSE kind END AS kind
+        FROM j LEFT JOIN known k ON k.mask = j.mask AND k.of = j.kind),
+      c1 AS (SELECT *, sum((kind = 'blank')::INT) {over} AS blanks, sum((kind IN ('header', 'page'))::INT) {over} AS furniture FROM l), c2 AS (SELECT * FROM c1 WHERE kind IN ('text', 'fence')),
+      c3 AS (SELECT *, kind = 'text' AND NOT regexp_matches(line, '^\s*[#>|]') AND coalesce(lead(kind) {over} = 'text', false) AND regexp_matches(line, {q(sr.BROKEN)}) AND coalesce(regexp_matches(lead(line) {over}, '^\s*\p{{Ll}}'), false) AS broken,
+        blanks > coalesce(lag(blanks) {over}, 0) AS apart, furniture > coalesce(lag(furniture) {over}, 0) AS page_end, coalesce(lag(line) {over}, '') AS previous, lag(kind) {over} AS kind_before, row_number() {over} AS nth FROM c2),
+      c4 AS (SELECT *, coalesce(lag(broken) {over}, false) AS after_break, page_end AND NOT regexp_matches(previous, '[.!?:;]\s*$') AND regexp_matches(line, '^\s*[\p{{Ll}}\p{{N}}]') AS runs_on,
+        kind = 'fence' OR coalesce(kind_before = 'fence', false) OR regexp_matches(line, {q(sr.MARKUP)}) AS stays FROM c3),
+      c5 AS (SELECT rec, n, broken, CASE WHEN nth = 1 OR after_break THEN '' WHEN apart AND NOT runs_on THEN chr(10) || chr(10) WHEN stays THEN chr(10) ELSE ' ' END
+        || CASE WHEN kind <> 'text' THEN '' WHEN broken THEN regexp_replace(rtrim(line), {q(f'[{sr.MARKS}]$')}, '') WHEN stays THEN rtrim(line) ELSE trim(rtrim(line)) END AS piece FROM c4),
+      flat AS (SELECT rec, string_agg(piece, '' ORDER BY n) AS text, bool_or(broken) AS hyphenation FROM c5 GROUP BY 1),
+      x AS (SELECT rec, regexp_extract_all(lower(text), {q(sr.TOKEN)}) AS w FROM (SELECT rec, text FROM flat UNION ALL SELECT rec, text FROM rec WHERE NOT contains(text, chr(10)))),
+      y AS (SELECT rec, w[i] AS word, coalesce(CASE WHEN i > 1 THEN w[i - 1] END, '') AS before, coalesce(w[i + 1], '') AS after FROM (SELECT rec, w, unnest(range(1, len(w) + 1)) AS i FROM x)),
+      p AS (SELECT word, before, count(*) AS n FROM y GROUP BY 1, 2), forms AS (SELECT word, sum(n) AS n, {_skeleton('word')} AS skeleton FROM p GROUP BY 1),
+      s AS (SELECT a.word, b.word AS reading FROM forms a JOIN forms b ON a.skeleton = b.skeleton AND a.word <> b.word WHERE b.n >= {sr.FREQUENT} AND regexp_full_match(b.word, '\p{{L}}+') AND b.n >= {sr.RATIO} * a.n),
+      ctx AS (SELECT DISTINCT word AS reading, 0 AS side, {_skeleton('before')} AS c FROM p WHERE word IN (SELECT reading FROM s) UNION SELECT DISTINCT before, 1, {_skeleton('word')} FROM p WHERE before IN (SELECT reading FROM s)),
+      o AS (SELECT rec, reading, {_skeleton('before')} AS b, {_skeleton('after')} AS a FROM y JOIN s USING (word)),
+      m AS (SELECT DISTINCT rec FROM o WHERE EXISTS (SELECT 1 FROM ctx WHERE ctx.reading = o.reading AND (side = 0 AND c = b OR side = 1 AND c = a))),
+      d AS (SELECT rec, 'hyphenation' AS defect FROM flat WHERE hyphenation UNION SELECT rec, 'misread' FROM m UNION SELECT rec, 'running_header' FROM l WHERE kind = 'header' UNION SELECT rec, 'page_number' FROM l WHERE kind = 'page' OR kind = 'header' AND has_page)
+      SELECT DISTINCT table_name, record_key, defect FROM rec JOIN d USING (rec)"""
+
+
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_source_evidence()} SELECT DISTINCT file_path FROM e",
     "p1_kinds": f"WITH {_source_evidence()} SELECT DISTINCT file_path, kind FROM e",
     "p1_evidence": f"WITH {_source_evidence()} SELECT * FROM e",
     "p1_handwritten": f"WITH {_source_evidence()} SELECT file_path FROM c WHERE file_path NOT IN (SELECT file_path FROM e)",
+    "p3_found": _scan_defects(),
     "p2_found": f"""SELECT 'level_0' AS field_name, ka AS key_a, kb AS key_b FROM {_similar("SELECT DISTINCT object_id AS k, level_0 AS x FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL", "list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])", 0.7)}
       UNION ALL SELECT 'file_path', ka, kb FROM {_similar("SELECT DISTINCT file_path AS k, file_path AS x FROM doc_meta WHERE file_path IS NOT NULL", "w", 0.8)}""",
     "p2_text_classes": f"""WITH t AS (SELECT DISTINCT object_id AS key, level_0 AS x, array_to_string({WORDS.format('level_0')}, ' ') AS words FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL),

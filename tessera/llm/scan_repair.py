@@ -32,7 +32,8 @@ CONFUSED = dict(zip("1l!|ce0@59hf68$q4", "iiiieeoasgbtbbsga", strict=True))
 CONFUSED_PAIRS = [("rn", "m"), ("vv", "w"), ("ei", "d"), ("ii", "u")]
 MARKS = "-‐­¬"
 
-ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+HUNDREDS, TENS, ONES = "(?:cm|cd|d?c{1,3}|d)", "(?:xc|xl|l?x{1,3}|l)", "(?:ix|iv|v?i{1,3}|v)"
+ROMAN = f"(?:m{{1,3}}{HUNDREDS}?{TENS}?{ONES}?|{HUNDREDS}{TENS}?{ONES}?|{TENS}{ONES}?|{ONES})"
 NUMBER = rf"(?:\d{{1,4}}|{ROMAN})"
 PAGE = rf"(?:(?:p|pp|s|pag|pág)\.\s?{NUMBER}|(?i:page|seite|página|pagina|strana)\s{NUMBER}|\[\s?{NUMBER}\s?\]|[-–—]\s?{NUMBER}\s?[-–—]|{NUMBER})"
 PAGE_LINE = rf"^{PAGE}\s*$"
