@@ -48,5 +48,7 @@ def test_commands(spark, vault, tmp_path, capsys):
     assert json.loads(run("status"))["objects"] == 2
     assert "concept_" in run("hubs") and "concept_sea" in run("compile", str(vault))
     assert json.loads(run("parse", str(vault / "sea.md")))["links"][0]["target"] == "Coast"
+    with pytest.raises(SystemExit):
+        run("parse", str(vault / "sea.unknown"))
     assert "concept_coast" in run("context", "concept_sea", "--hops", "1")
     assert run("graph", "--out", str(tmp_path / "g.html")).strip().endswith("g.html") and (tmp_path / "g.html").exists()
