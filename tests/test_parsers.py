@@ -101,7 +101,7 @@ def tree(source, shape, at=0):
     made = Node(type=kind, start_byte=start, end_byte=start + len(text), children=[], parent=None, start_point=SimpleNamespace(row=source[:start].count("\n")), end_point=SimpleNamespace(row=source[: start + len(text)].count("\n")))
     for child in children:
         made.children.append(tree(source, child, start))
-        start = made.children[-1].start_byte + (len(child[1]) if len(child) == 2 else 0)
+        start = made.children[-1].start_byte + (len(child[1]) - 1 if len(child) == 2 else 0)
     return made
 
 
