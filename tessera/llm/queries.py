@@ -211,7 +211,8 @@ def _skeleton(column: str) -> str:
     return out
 
 
-def _scan_defects() -> str:
+def _scans_sql(result: str) -> str:
+    """Common tables of the repair of scanned text, and a query of them."""
     sr, q = scan_repair, _quoted
     part = lambda k: f"regexp_extract(squeezed, {q(sr.HEADER)}, {k})"
     unfinished = lambda x: f"(regexp_matches({x}, {q(rf'[\p{{L}}\p{{N}},]\s*$|{sr.BROKEN}')}) AND NOT regexp_matches({x}, {q(sr.MARKUP)}))"
@@ -241,18 +242,27 @@ def _scan_defects() -> str:
         blanks > coalesce(lag(blanks) {over}, 0) AS apart, furniture > coalesce(lag(furniture) {over}, 0) AS page_end, coalesce(lag(line) {over}, '') AS previous, lag(kind) {over} AS kind_before, row_number() {over} AS nth FROM c2),
       c4 AS (SELECT *, coalesce(lag(broken) {over}, false) AS after_break, page_end AND NOT regexp_matches(previous, '[.!?:;]\s*$') AND regexp_matches(line, '^\s*[\p{{Ll}}\p{{N}}]') AS runs_on,
         kind = 'fence' OR coalesce(kind_before = 'fence', false) OR regexp_matches(line, {q(sr.MARKUP)}) AS stays FROM c3),
-      c5 AS (SELECT rec, n, broken, CASE WHEN nth = 1 OR after_break THEN '' WHEN apart AND NOT runs_on THEN chr(10) || chr(10) WHEN stays THEN chr(10) ELSE ' ' END
-        || CASE WHEN kind <> 'text' THEN '' WHEN broken THEN regexp_replace(rtrim(line), {q(f'[{sr.MARKS}]$')}, '') WHEN stays THEN rtrim(line) ELSE trim(rtrim(line)) END AS piece FROM c4),
-      flat AS (SELECT rec, string_agg(piece, '' ORDER BY n) AS text, bool_or(broken) AS hyphenation FROM c5 GROUP BY 1),
+      c5 AS (SELECT rec, n, broken, kind, CASE WHEN nth = 1 OR after_break THEN '' WHEN apart AND NOT runs_on THEN chr(10) || chr(10) WHEN stays THEN chr(10) ELSE ' ' END AS gap,
+        CASE WHEN broken THEN regexp_replace(rtrim(line), {q(f'[{sr.MARKS}]$')}, '') WHEN kind = 'fence' THEN line WHEN stays THEN rtrim(line) ELSE trim(rtrim(line)) END AS piece FROM c4),
+      flat AS (SELECT rec, string_agg(gap || CASE WHEN kind = 'text' THEN piece ELSE '' END, '' ORDER BY n) AS text, string_agg(gap || piece, '' ORDER BY n) AS flow, bool_or(broken) AS hyphenation FROM c5 GROUP BY 1),
       x AS (SELECT rec, regexp_extract_all(lower(text), {q(sr.TOKEN)}) AS w FROM (SELECT rec, text FROM flat UNION ALL SELECT rec, text FROM rec WHERE NOT contains(text, chr(10)))),
       y AS (SELECT rec, w[i] AS word, coalesce(CASE WHEN i > 1 THEN w[i - 1] END, '') AS before, coalesce(w[i + 1], '') AS after FROM (SELECT rec, w, unnest(range(1, len(w) + 1)) AS i FROM x)),
       p AS (SELECT word, before, count(*) AS n FROM y GROUP BY 1, 2), forms AS (SELECT word, sum(n) AS n, {_skeleton('word')} AS skeleton FROM p GROUP BY 1),
-      s AS (SELECT a.word, b.word AS reading FROM forms a JOIN forms b ON a.skeleton = b.skeleton AND a.word <> b.word WHERE b.n >= {sr.FREQUENT} AND regexp_full_match(b.word, '\p{{L}}+') AND b.n >= {sr.RATIO} * a.n),
-      ctx AS (SELECT DISTINCT word AS reading, 0 AS side, {_skeleton('before')} AS c FROM p WHERE word IN (SELECT reading FROM s) UNION SELECT DISTINCT before, 1, {_skeleton('word')} FROM p WHERE before IN (SELECT reading FROM s)),
-      o AS (SELECT rec, reading, {_skeleton('before')} AS b, {_skeleton('after')} AS a FROM y JOIN s USING (word)),
-      m AS (SELECT DISTINCT rec FROM o WHERE EXISTS (SELECT 1 FROM ctx WHERE ctx.reading = o.reading AND (side = 0 AND c = b OR side = 1 AND c = a))),
-      d AS (SELECT rec, 'hyphenation' AS defect FROM flat WHERE hyphenation UNION SELECT rec, 'misread' FROM m UNION SELECT rec, 'running_header' FROM l WHERE kind = 'header' UNION SELECT rec, 'page_number' FROM l WHERE kind = 'page' OR kind = 'header' AND has_page)
+      s AS (SELECT a.word, b.word AS reading, b.n AS often FROM forms a JOIN forms b ON a.skeleton = b.skeleton AND a.word <> b.word WHERE b.n >= {sr.FREQUENT} AND regexp_full_match(b.word, '\p{{L}}+') AND b.n >= {sr.RATIO} * a.n),
+      ctx AS (SELECT word AS reading, 0 AS side, {_skeleton('before')} AS c, sum(n) AS n FROM p WHERE word IN (SELECT reading FROM s) GROUP BY ALL UNION ALL SELECT before, 1, {_skeleton('word')}, sum(n) FROM p WHERE before IN (SELECT reading FROM s) GROUP BY ALL),
+      o AS (SELECT rec, word, reading, often, {_skeleton('before')} AS b, {_skeleton('after')} AS a FROM (SELECT DISTINCT * FROM y) JOIN s USING (word)),
+      v AS (SELECT rec, word, o.reading, often, b, a, sum(n) AS support FROM o JOIN ctx ON ctx.reading = o.reading AND (side = 0 AND c = b OR side = 1 AND c = a) GROUP BY ALL),
+      m AS (SELECT rec, word, (max(struct_pack(support := support, often := often, reading := reading))).reading AS reading FROM v GROUP BY 1, 2) {result}"""
+
+
+SCAN_DEFECTS = """, d AS (SELECT rec, 'hyphenation' AS defect FROM flat WHERE hyphenation UNION SELECT rec, 'misread' FROM m UNION SELECT rec, 'running_header' FROM l WHERE kind = 'header'
+        UNION SELECT rec, 'page_number' FROM l WHERE kind = 'page' OR kind = 'header' AND has_page)
       SELECT DISTINCT table_name, record_key, defect FROM rec JOIN d USING (rec)"""
+SCAN_TEXTS = f""", b AS (SELECT r.*, CASE WHEN coalesce(hyphenation, false) OR rec IN (SELECT rec FROM l WHERE kind IN ('header', 'page')) OR rec IN (SELECT rec FROM m) AND flow IS NOT NULL THEN flow ELSE r.text END AS base FROM rec r LEFT JOIN (SELECT rec, flow, hyphenation FROM flat) USING (rec)),
+      w AS (SELECT rec, regexp_extract_all(base, {_quoted(scan_repair.TOKEN)}) AS w, regexp_split_to_array(base, {_quoted(scan_repair.TOKEN)}) AS g FROM b WHERE rec IN (SELECT rec FROM m)),
+      t AS (SELECT rec, w[i] AS w, g[i] AS g, i FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM w)),
+      f AS (SELECT t.rec, string_agg(g || coalesce(CASE WHEN m.reading IS NULL THEN t.w WHEN substr(t.w, 1, 1) <> lower(substr(t.w, 1, 1)) THEN upper(substr(m.reading, 1, 1)) || substr(m.reading, 2) ELSE m.reading END, ''), '' ORDER BY i) AS fixed FROM t LEFT JOIN m ON m.rec = t.rec AND m.word = lower(t.w) GROUP BY 1)
+      SELECT table_name, record_key, coalesce(fixed, base) AS repaired FROM b LEFT JOIN f USING (rec)"""
 
 
 ORACLES: dict[str, str] = {
@@ -260,7 +270,8 @@ ORACLES: dict[str, str] = {
     "p1_kinds": f"WITH {_source_evidence()} SELECT DISTINCT file_path, kind FROM e",
     "p1_evidence": f"WITH {_source_evidence()} SELECT * FROM e",
     "p1_handwritten": f"WITH {_source_evidence()} SELECT file_path FROM c WHERE file_path NOT IN (SELECT file_path FROM e)",
-    "p3_found": _scan_defects(),
+    "p3_found": _scans_sql(SCAN_DEFECTS),
+    "p3_repaired": _scans_sql(SCAN_TEXTS),
     "p2_found": f"""SELECT 'level_0' AS field_name, ka AS key_a, kb AS key_b FROM {_similar("SELECT DISTINCT object_id AS k, level_0 AS x FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL", "list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])", 0.7)}
       UNION ALL SELECT 'file_path', ka, kb FROM {_similar("SELECT DISTINCT file_path AS k, file_path AS x FROM doc_meta WHERE file_path IS NOT NULL", "w", 0.8)}""",
     "p2_text_classes": f"""WITH t AS (SELECT DISTINCT object_id AS key, level_0 AS x, array_to_string({WORDS.format('level_0')}, ' ') AS words FROM knowledge_store WHERE object_id IS NOT NULL AND level_0 IS NOT NULL),
